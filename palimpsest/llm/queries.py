@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bytebpe, langid, media, simhash
+from palimpsest.llm import bytebpe, langid, media, packing, simhash, tokencount
 from palimpsest.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -31,6 +39,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_webp": op1_media_webp,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language_id": op9_language_id,
