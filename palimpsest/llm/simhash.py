@@ -1,24 +1,32 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
-Fingerprints are 64-bit majority votes over word shingles; two fingerprints link when they differ in at
-most `max_bits` bits, and a document's class is its connected component under those links.
-
-Exact candidate search: the 64 bits are cut into `max_bits + extra` blocks. Fingerprints within `max_bits`
-bits agree on at least `extra` whole blocks, so each distinct fingerprint is filed once under every choice
-of `extra` blocks (with the default 7 blocks: 35 keys of 27 or 28 bits, hence few chance meetings). Within
-a key the pivot table decides: the Hamming distances of each fingerprint to many reference fingerprints are
-precomputed, a pair whose largest coordinate difference exceeds `max_bits` is discarded (triangle
-inequality), and only survivors are verified by XOR and popcount. A key's members yield spanning links
-(at most members - 1), never all pairs.
-
-Crowded keys (one family of near copies may hold a third of all rows) are cut into tiles of `TILE`
-members; every pair of tiles is one row group of its own, dealt to its own task, so no task ever
-holds more than two tiles of a key and no pair is lost.
+A fingerprint is a majority vote over the hashes of a text's word shingles, bit by bit. Two fingerprints link
+when few of their bits differ, and a document's class is its connected component under those links. Exact
+copies share a fingerprint and are one node of that graph.
+
+Within each candidate key the pivot table decides: the Hamming distances of every fingerprint to many
+reference fingerprints are precomputed; a pair whose largest coordinate difference exceeds the allowed number
+of bits is discarded (triangle inequality), and only survivors are verified by XOR and popcount. A key's
+members yield spanning links (at most members - 1), never all pairs.
+
+Candidate keys, by the kind of search:
+
+* `near_duplicates`: links at `max_bits` or fewer of 64 bits, exactly. The bits are cut into `max_bits + EXTRA`
+  blocks; fingerprints that near agree on at least EXTRA whole blocks, so each distinct fingerprint is filed
+  under every choice of EXTRA blocks (7 blocks: 35 keys of 27 or 28 bits).
+* `similar`: links at a Jaccard similarity of the shingle sets, as a fingerprint of 256 bits estimates it (two
+  sets of similarity s differ in the share acos(2s / (1 + s)) / pi of their bits, give or take 0.02). No block
+  scheme reaches that far; each fingerprint is filed under sampled bits, in as many tables as it takes to meet a pair
+  just at the threshold with probability RECALL, and a closer one almost surely.
+
+Crowded keys (one family of near copies may hold a third of all rows) are cut into tiles of TILE members; every
+pair of tiles is a row group of its own, dealt to its own task, so no task ever holds more than two
+tiles of a key and no pair is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import combinations
 
 import numpy as np
@@ -34,48 +42,75 @@ MAX_BITS = 4
 EXTRA = 3
 TILE = 4096
 N_PIVOTS = 24
-#: Reference fingerprints: fixed, so that every task builds the same tables.
-PIVOTS = np.random.default_rng(20240229).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
-
-
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The SimHash of one text; 0 without words, the whole sequence as one shingle if it is shorter."""
-    words = text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes_of = [b" ".join(words)]
-        return _majority(iter([np.array([xxhash.xxh64_intdigest(x, SEED) for x in hashes_of], dtype=np.uint64)]))
-    line = b" ".join(words)
-    starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begins = [0, *starts[: len(words) - shingle].tolist()]
-    ends = (starts[shingle - 1 :] - 1).tolist()
-    del words
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    step = 1 << 16
-    return _majority(np.array([digest(line[a:b], seed) for a, b in zip(begins[i : i + step], ends[i : i + step])], dtype=np.uint64) for i in range(0, len(begins), step))
-
-
-def _majority(blocks: Iterator[np.ndarray]) -> int:
-    ones, n = np.zeros(64, np.int64), 0
-    for h in blocks:
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for i in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            ones += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
-        n += len(h)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long): one row per input row. A null text counts as empty (fingerprint 0)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+RECALL = 0.97
+LONG_WORDS = 4
+_DRAWN = np.random.default_rng(20240229)
+#: Reference fingerprints and word mixers: fixed, so that every task builds the same tables.
+PIVOTS = _DRAWN.integers(0, 2**64, (N_PIVOTS, LONG_WORDS), dtype=np.uint64)
+MIXERS = _DRAWN.integers(0, 2**64, LONG_WORDS, dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """The SimHash of one text, `words` 64-bit numbers; 0 without words, a shorter sequence is one shingle.
+
+    The first number is the majority over XXH64 of the shingles, the others over hashes mixed from it.
+    """
+    own = text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
+    if not own:
+        return np.zeros(words, np.uint64)
+    digest, seed, line = xxhash.xxh64_intdigest, SEED, b" ".join(own)
+    if len(own) <= shingle:
+        begins, ends = [0], [len(line)]
+    else:
+        starts = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        begins = [0, *starts[: len(own) - shingle].tolist()]
+        ends = (starts[shingle - 1 :] - 1).tolist()
+    del own
+    step, ones = 1 << 14, np.zeros(64 * words, np.int64)
+    for i in range(0, len(begins), step):
+        h = np.array([digest(line[a:b], seed) for a, b in zip(begins[i : i + step], ends[i : i + step])], dtype=np.uint64)
+        bits = np.unpackbits(_mixed(h, words).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(begins), bitorder="little").view(np.uint64)
+
+
+def _mixed(h: np.ndarray, words: int) -> np.ndarray:
+    if words == 1:
+        return h[:, None].copy()
+    z = h[:, None] + MIXERS[None, :words]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    z[:, 0] = h
+    return z
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """The signed 64-bit name of fingerprints (rows): the number itself, or a hash of several."""
+    if fps.shape[1] == 1:
+        return np.ascontiguousarray(fps[:, 0]).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in fps], dtype=np.uint64).view(np.int64)
+
+
+def _columns(words: int) -> list[str]:
+    return [f"f{i}" for i in range(words)]
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, node, f0, f1, ...): one row per input row. A null text counts as empty (fingerprint 0).
+
+    node names the fingerprint in one number.
+    """
+    names = ["doc_id", "node", *_columns(words)]
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
         for b in slices(batches):
-            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprint(t or b"", shingle, words) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(node_of(fps)), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], schema=schema)
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def block_masks(max_bits: int = MAX_BITS, extra: int = EXTRA) -> list[int]:
@@ -90,25 +125,48 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances (rows: fingerprints, columns: pivots)."""
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def by_blocks(nodes: DataFrame, max_bits: int = MAX_BITS, extra: int = EXTRA) -> DataFrame:
+    """(key, f0): each fingerprint under every choice of blocks. A key is a 64-bit hash of choice and bits.
 
+    Should two keys share a name, their members only meet more pairs to verify.
+    """
+    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(block_masks(max_bits, extra))])
+    return nodes.select("f0", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "f0")
 
-def _forest(n: int):
-    parent = list(range(n))
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def bit_tables(n: int, differ: float, words: int = LONG_WORDS, recall: float = RECALL) -> list[np.ndarray]:
+    """Which bits each table samples: enough bits for about 64 chance members a key, enough tables for recall."""
+    k = max(16, (max(n, 1) >> 6).bit_length())
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
+    drawn = np.random.default_rng(k)
+    return [drawn.choice(64 * words, k, replace=False) for _ in range(tables)]
+
+
+def by_samples(nodes: DataFrame, tables: list[np.ndarray], words: int = LONG_WORDS) -> DataFrame:
+    """(key, f0, f1, ...): each fingerprint under the sampled bits of every table."""
+    names = ["key", *_columns(words)]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+    picks, base = np.array(tables), 1 << len(tables[0])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                b = batch.slice(i, 2048)
+                fps = np.stack([np.asarray(c) for c in b.columns], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+                own = (bits[:, picks].astype(np.int64) << np.arange(picks.shape[1])).sum(axis=2) + np.arange(len(picks)) * base
+                yield emit(schema, {"key": own.reshape(-1)} | {f"f{w}": np.repeat(fps[:, w], len(picks)) for w in range(words)})
+
+    return nodes.select(*_columns(words)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    return parent, find
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Hamming distances (rows: fingerprints, columns: pivots)."""
+    return np.bitwise_count(fps[:, None, :] ^ PIVOTS[None, :, : fps.shape[1]]).sum(axis=2, dtype=np.int16)
 
 
-def links_within(fps: np.ndarray, split: int | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Spanning links among distinct fingerprints: index pairs joining every component of the link graph.
+def links_within(fps: np.ndarray, split: int | None, max_bits: int) -> list[tuple[int, int]]:
+    """Spanning links among distinct fingerprints (rows): index pairs joining every component of the link graph.
 
     With `split`, only pairs between fps[:split] and fps[split:] count (two tiles of one key).
     Members are sorted by their first pivot coordinate, so that each one meets only the window of
@@ -116,13 +174,20 @@ def links_within(fps: np.ndarray, split: int | None = None, max_bits: int = MAX_
     """
     n = len(fps)
     if n == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= max_bits else []
+        return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= max_bits else []
     table = pivot_table(fps)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     side = None if split is None else order < split
-    reach = np.searchsorted(table[:, 0], table[:, 0].astype(np.int16) + max_bits, side="right")
-    parent, find = _forest(n)
+    reach = np.searchsorted(table[:, 0], table[:, 0] + max_bits, side="right")
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     out = []
     for i in range(n - 1):
         lo, hi = i + 1, int(reach[i])
@@ -131,12 +196,12 @@ def links_within(fps: np.ndarray, split: int | None = None, max_bits: int = MAX_
         near = np.arange(lo, hi)
         if side is not None:
             near = near[side[lo:hi] != side[i]]
-        for c in range(1, N_PIVOTS, 4):  # coordinate by coordinate; few survive the first ones
-            if not len(near):
+        for c in range(1, N_PIVOTS, 8):  # some coordinates at a time; few pairs survive the first ones
+            if len(near) < 8:
                 break
-            near = near[(np.abs(table[near, c : c + 4] - table[i, c : c + 4]) <= max_bits).all(axis=1)]
+            near = near[(np.abs(table[near, c : c + 8] - table[i, c : c + 8]) <= max_bits).all(axis=1)]
         if len(near):
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= max_bits]
+            near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(axis=1) <= max_bits]
         for j in near.tolist():
             a, b = find(i), find(j)
             if a != b:
@@ -145,28 +210,25 @@ def links_within(fps: np.ndarray, split: int | None = None, max_bits: int = MAX_
     return out
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, extra: int = EXTRA) -> DataFrame:
-    """(a long, b long): spanning links between distinct fingerprints `nodes(fp)`, each within max_bits bits."""
-    masks = block_masks(max_bits, extra)
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
-    filed = nodes.select("fp", F.explode(keys).alias("key")).select("fp", F.xxhash64("key.k", "key.v").alias("key"))
-    # A 64-bit hash of (choice, bits) names the key: two keys under one name only add pairs to verify.
+def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
+    """(a, b): spanning links between the distinct fingerprints filed under each key, as nodes."""
+    own_columns = _columns(words)
     crowded = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     crowded = stored(crowded, "simhash-crowded")
     if crowded.isEmpty():
-        dealt = filed.withColumn("tile", F.lit(0)).withColumn("other", F.lit(0)).withColumn("own", F.lit(0))
+        dealt = filed.select("key", F.lit(0).alias("tile"), F.lit(0).alias("other"), F.lit(0).alias("own"), *own_columns)
     else:
         t = F.coalesce("tiles", F.lit(1))
-        own = filed.join(crowded, "key", "left").withColumn("own", F.when(t > 1, F.pmod(F.xxhash64("fp"), t)).otherwise(0).cast("int"))
-        pair = F.when(t == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), t - 1))
-        dealt = own.withColumn("p", F.explode(pair)).select("fp", "key", "own", F.least("own", "p").alias("tile"), F.greatest("own", "p").alias("other"))
-    parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "own", "fp")
+        own = filed.join(crowded, "key", "left").withColumn("own", F.when(t > 1, F.pmod(F.xxhash64(*own_columns), t)).otherwise(0).cast("int"))
+        paired = own.withColumn("p", F.explode(F.sequence(F.lit(0), t - 1)))
+        dealt = paired.select("key", F.least("own", "p").alias("tile"), F.greatest("own", "p").alias("other"), "own", *own_columns)
+    parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "own")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         held = None
         for b in batches:
-            now = [np.asarray(b.column(n)) for n in ("key", "tile", "other", "own", "fp")]
+            now = [np.asarray(c) for c in b.columns]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             key, tile, other = now[:3]
@@ -175,22 +237,28 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, extra: int = EXTRA) -> Dat
             if last:
                 yield from found([x[:last] for x in now], cut)
             held = [x[last:] for x in now]  # the last group may go on in the next batch
-        if held is not None:
+        if held is not None and len(held[0]):
             yield from found(held, np.array([len(held[0])]))
 
     def found(rows, cut):
-        tile, other, own, fp = rows[1:]
-        fp = fp.view(np.uint64)
+        tile, other, own = rows[1:4]
+        fps = np.stack([x.view(np.uint64) for x in rows[4:]], axis=1)
         begins = np.concatenate([[0], cut[:-1]])
         a, z = [], []
-        many = cut - begins > 1
+        two = cut - begins == 2  # pairs, the most frequent groups, all at once
+        at = begins[two]
+        at = at[np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1) <= max_bits]
+        at = at[(tile[at] == other[at]) | (own[at] != own[at + 1])]
+        a += at.tolist()
+        z += (at + 1).tolist()
+        many = cut - begins > 2
         for lo, hi in zip(begins[many].tolist(), cut[many].tolist()):
             split = None if tile[lo] == other[lo] else int(np.searchsorted(own[lo:hi], other[lo]))
-            for i, j in links_within(fp[lo:hi], split, max_bits):
-                a.append(fp[lo + i])
-                z.append(fp[lo + j])
+            for i, j in links_within(fps[lo:hi], split, max_bits):
+                a.append(lo + i)
+                z.append(lo + j)
         if a:
-            yield emit(schema, {"a": np.array(a, np.uint64).view(np.int64), "b": np.array(z, np.uint64).view(np.int64)})
+            yield emit(schema, {"a": node_of(fps[a]), "b": node_of(fps[z])})
 
     return parts.mapInArrow(run, "a long, b long")
 
@@ -222,30 +290,51 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(marked: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest doc_id of each fingerprint's component."""
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
+    named = nodes.join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return stored(named.join(lowest, "root").select("node", "component_id"), "simhash-classes")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS, extra: int = EXTRA) -> DataFrame:
-    """One row per input row: (doc_id, fingerprint hex string, component_id).
+    """One row per input row: (doc_id, fingerprint hex string, component_id), linked at max_bits of 64 bits.
 
     component_id is the smallest non-null doc_id reachable over links, the row's own included. Null or
     wordless texts have fingerprint 0 and link like any other. Rows with a null doc_id keep their row, and
     take their class's smallest id (null where the class has none). Repeated ids give repeated rows.
     """
     marked = stored(fingerprints(df, id_col, text_col, shingle), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    tree = components(stored(links(nodes.select("fp"), max_bits, extra), "simhash-links"))
-    # tree speaks of fingerprints; classes speak of document ids.
-    named = nodes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = stored(named.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = stored(links(by_blocks(marked.select("f0").distinct(), max_bits, extra), max_bits), "simhash-links")
+    classes = _classes(marked, components(found))
+    return marked.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """One row per input row: (doc_id, component_id), linked at an estimated Jaccard similarity of shingles.
+
+    Null, empty and wordless texts are one class. Null and repeated ids as in `near_duplicates`.
+    """
+    words = LONG_WORDS
+    marked = stored(fingerprints(df, id_col, text_col, shingle, words), "simhash")
+    nodes = stored(marked.select(*_columns(words)).distinct(), "simhash-nodes")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    error = math.sqrt(differ * (1 - differ) * 64 * words)
+    # One standard error beyond the expectation: pairs at the threshold mostly pass.
+    max_bits = round(64 * words * differ + error)
+    filed = by_samples(nodes, bit_tables(nodes.count(), differ, words, recall), words)
+    found = stored(links(filed, max_bits, words), "simhash-links")
+    return marked.join(_classes(marked, components(found)), "node").select("doc_id", "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df's rows, with all their columns, whose id is the smallest of its class: one of each group stays.
 
-    Rows with a null id stay: no id says which of them to prefer. Where the smallest id itself is
-    repeated, one of its rows stays, the one with the smallest text (null counts as empty).
+    Classes are those of `similar`. Rows with a null id stay: no id says which of them to prefer. Where the
+    smallest id itself is repeated, one of its rows stays, the one with the smallest text (null: empty).
     """
-    kept = near_duplicates(df, id_col, text_col, **how).where("doc_id = component_id").groupBy("doc_id").count()
+    kept = similar(df, id_col, text_col, shingle, similarity).where("doc_id = component_id").groupBy("doc_id").count()
     kept = stored(kept, "simhash-kept")
     rows = df.join(kept.select(F.col("doc_id").alias("__kept")), col(id_col) == F.col("__kept"), "left_semi")
     if not kept.where("count > 1").isEmpty():
