@@ -14,10 +14,13 @@ Candidate keys, by the kind of search:
 * `near_duplicates`: links at `max_bits` or fewer of 64 bits, exactly. The bits are cut into `max_bits + EXTRA`
   blocks; fingerprints that near agree on at least EXTRA whole blocks, so each distinct fingerprint is filed
   under every choice of EXTRA blocks (7 blocks: 35 keys of 27 or 28 bits).
-* `similar`: links at a Jaccard similarity of the shingle sets, as a fingerprint of 256 bits estimates it (two
-  sets of similarity s differ in the share acos(2s / (1 + s)) / pi of their bits, give or take 0.02). No block
-  scheme reaches that far; each fingerprint is filed under sampled bits, in as many tables as it takes to meet a pair
-  just at the threshold with probability RECALL, and a closer one almost surely.
+* `similar`: links at a Jaccard similarity of the shingle sets. Two sets of similarity s differ in the share
+  acos(2s / (1 + s)) / pi of their fingerprints' bits. No block scheme reaches that far, so each fingerprint of
+  256 bits is filed under sampled bits, in as many tables as it takes to meet a pair just at the threshold with
+  probability RECALL, and a closer one almost surely. Members of a key that are near enough to be worth a look
+  yield a minimum spanning forest; it keeps the components at every smaller distance as well, so that its links can be
+  verified one by one: the exact similarity of the two shingle sets decides. At that radius pivot coordinates
+  never differ by enough to discard a pair, so the table serves the first search alone.
 
 Crowded keys (one family of near copies may hold a third of all rows) are cut into tiles of TILE members; every
 pair of tiles is a row group of its own, dealt to its own task, so no task ever holds more than two
@@ -42,7 +45,7 @@ MAX_BITS = 4
 EXTRA = 3
 TILE = 4096
 N_PIVOTS = 24
-RECALL = 0.97
+RECALL = 0.98
 LONG_WORDS = 4
 _DRAWN = np.random.default_rng(20240229)
 #: Reference fingerprints and word mixers: fixed, so that every task builds the same tables.
@@ -53,7 +56,8 @@ MIXERS = _DRAWN.integers(0, 2**64, LONG_WORDS, dtype=np.uint64)
 def fingerprint(text: bytes, shingle: int = 4, words: int = 1) -> np.ndarray:
     """The SimHash of one text, `words` 64-bit numbers; 0 without words, a shorter sequence is one shingle.
 
-    The first number is the majority over XXH64 of the shingles, the others over hashes mixed from it.
+    One number is the majority over XXH64 of all shingles, repeats included; several are majorities over the
+    distinct shingles, the further ones over hashes mixed from the first.
     """
     own = text.lower().split()  # bytes: A-Z only, and exactly the white space \x20 \x09-\x0D
     if not own:
@@ -66,13 +70,14 @@ def fingerprint(text: bytes, shingle: int = 4, words: int = 1) -> np.ndarray:
         begins = [0, *starts[: len(own) - shingle].tolist()]
         ends = (starts[shingle - 1 :] - 1).tolist()
     del own
-    step, ones = 1 << 14, np.zeros(64 * words, np.int64)
-    for i in range(0, len(begins), step):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(begins[i : i + step], ends[i : i + step])], dtype=np.uint64)
-        bits = np.unpackbits(_mixed(h, words).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(begins), bitorder="little").view(np.uint64)
+    h = np.fromiter((digest(line[a:b], seed) for a, b in zip(begins, ends)), np.uint64, len(begins))
+    if words > 1:  # compared as sets
+        h = np.unique(h)
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(h), 255):  # sums of 255 bits fit a byte
+        part = _mixed(h[i : i + 255], words)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -173,8 +178,8 @@ def links_within(fps: np.ndarray, split: int | None, max_bits: int) -> list[tupl
     members within `max_bits` of it; the other coordinates discard most of those before XOR.
     """
     n = len(fps)
-    if n == 2:
-        return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= max_bits else []
+    if n < 2 or split in (0, n):
+        return []
     table = pivot_table(fps)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
@@ -210,8 +215,51 @@ def links_within(fps: np.ndarray, split: int | None, max_bits: int) -> list[tupl
     return out
 
 
+def forest(fps: np.ndarray, side: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the pairs of rows within max_bits bits; with `side`, of pairs across it."""
+    n, far = len(fps), 1 << 14
+    best, origin, todo, out, at = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), [], 0
+    for _ in range(n - 1):
+        todo[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64)
+        if side is not None:
+            d[side == side[at]] = far
+        nearer = todo & (d < best)
+        best[nearer], origin[nearer] = d[nearer], at
+        at = int(np.where(todo, best, far + 1).argmin())
+        if best[at] <= max_bits:
+            out.append((int(origin[at]), at))
+    return out
+
+
+def forests(fps: np.ndarray, begins: np.ndarray, ends: np.ndarray, max_bits: int, whole: int = 512):
+    """(a, b) row numbers of the forests of many groups of rows; groups of one size are compared at once."""
+    sizes = ends - begins
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = begins[sizes == size]
+        if size > whole:
+            for lo in own.tolist():
+                yield from ((lo + i, lo + j) for i, j in forest(fps[lo : lo + size], None, max_bits))
+            continue
+        step = max(1, (1 << 21) // size**2)
+        for k in range(0, len(own), step):
+            lows = own[k : k + step]
+            rows = fps[lows[:, None] + np.arange(size)]
+            d = np.zeros((len(lows), size, size), np.int16)
+            for w in range(fps.shape[1]):
+                d += np.bitwise_count(rows[:, :, None, w] ^ rows[:, None, :, w])
+            near = d <= max_bits
+            near[:, np.arange(size), np.arange(size)] = False
+            for g in np.flatnonzero(near.any(axis=(1, 2))).tolist():
+                some = np.flatnonzero(near[g].any(axis=1))
+                yield from ((int(lows[g] + some[i]), int(lows[g] + some[j])) for i, j in forest(rows[g][some], None, max_bits))
+
+
 def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
-    """(a, b): spanning links between the distinct fingerprints filed under each key, as nodes."""
+    """(a, b): spanning links between the distinct fingerprints filed under each key, as nodes.
+
+    Links of one-word fingerprints span each component; those of longer ones are a minimum spanning forest.
+    """
     own_columns = _columns(words)
     crowded = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     crowded = stored(crowded, "simhash-crowded")
@@ -245,16 +293,27 @@ def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
         fps = np.stack([x.view(np.uint64) for x in rows[4:]], axis=1)
         begins = np.concatenate([[0], cut[:-1]])
         a, z = [], []
-        two = cut - begins == 2  # pairs, the most frequent groups, all at once
-        at = begins[two]
-        at = at[np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1) <= max_bits]
-        at = at[(tile[at] == other[at]) | (own[at] != own[at + 1])]
-        a += at.tolist()
-        z += (at + 1).tolist()
-        many = cut - begins > 2
-        for lo, hi in zip(begins[many].tolist(), cut[many].tolist()):
-            split = None if tile[lo] == other[lo] else int(np.searchsorted(own[lo:hi], other[lo]))
-            for i, j in links_within(fps[lo:hi], split, max_bits):
+        crossed = tile[begins] != other[begins]
+        if words > 1:
+            pairs = forests(fps, begins[~crossed], cut[~crossed], max_bits)
+            for i, j in pairs:
+                a.append(i)
+                z.append(j)
+        else:
+            two = (cut - begins == 2) & ~crossed  # pairs, the most frequent groups, all at once
+            at = begins[two]
+            at = at[np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1) <= max_bits]
+            a += at.tolist()
+            z += (at + 1).tolist()
+        for lo, hi, cross in zip(begins.tolist(), cut.tolist(), crossed.tolist()):
+            if not cross and (words > 1 or hi - lo < 3):
+                continue
+            split = int(np.searchsorted(own[lo:hi], other[lo])) if cross else None
+            if words > 1:
+                pairs = forest(fps[lo:hi], np.arange(hi - lo) < split, max_bits)
+            else:
+                pairs = links_within(fps[lo:hi], split, max_bits)
+            for i, j in pairs:
                 a.append(lo + i)
                 z.append(lo + j)
         if a:
@@ -312,7 +371,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
-    """One row per input row: (doc_id, component_id), linked at an estimated Jaccard similarity of shingles.
+    """One row per input row: (doc_id, component_id), linked at a Jaccard similarity of distinct shingles.
 
     Null, empty and wordless texts are one class. Null and repeated ids as in `near_duplicates`.
     """
@@ -320,14 +379,63 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     marked = stored(fingerprints(df, id_col, text_col, shingle, words), "simhash")
     nodes = stored(marked.select(*_columns(words)).distinct(), "simhash-nodes")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    error = math.sqrt(differ * (1 - differ) * 64 * words)
-    # One standard error beyond the expectation: pairs at the threshold mostly pass.
-    max_bits = round(64 * words * differ + error)
+    bits = 64 * words
+    # A pair just at the threshold is within 2.5 standard errors of the expected number of bits.
+    max_bits = round(bits * differ + 2.5 * math.sqrt(differ * (1 - differ) * bits))
     filed = by_samples(nodes, bit_tables(nodes.count(), differ, words, recall), words)
-    found = stored(links(filed, max_bits, words), "simhash-links")
+    near = stored(links(filed, max_bits, words).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
+    found = stored(verified(near, _sets(df, marked, near, id_col, text_col, shingle), similarity), "simhash-links")
     return marked.join(_classes(marked, components(found)), "node").select("doc_id", "component_id")
 
 
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashed word shingles of a text, sorted; none without words."""
+    own = text.lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    parts = (b" ".join(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+
+
+def _sets(df: DataFrame, marked: DataFrame, near: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set binary) of the fingerprints that have a link to verify, from one text of each."""
+    linked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
+    # The texts meet their fingerprints again by id; a null or repeated id can't name a text, so nodes are
+    # computed once more from the few texts that come through.
+    ids = marked.join(linked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    some = texts(df, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
+    def run(batches):
+        for b in slices(batches):
+            own = [t or b"" for t in b.column(1).to_pylist()]
+            fps = np.array([fingerprint(t, shingle, LONG_WORDS) for t in own], dtype=np.uint64).reshape(-1, LONG_WORDS)
+            yield emit(schema, {"node": node_of(fps), "set": [shingles(t, shingle).tobytes() for t in own]})
+
+    return stored(some.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "simhash-sets")
+
+
+def verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, set) have at least this Jaccard similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    first = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            a, z = [], []
+            for p, q, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if both >= similarity * (len(u) + len(v) - both):
+                    a.append(p)
+                    z.append(q)
+            if a:
+                yield emit(schema, {"a": a, "b": z})
+
+    return near.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df's rows, with all their columns, whose id is the smallest of its class: one of each group stays.
 
