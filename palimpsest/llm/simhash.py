@@ -444,7 +444,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = similar(df, id_col, text_col, shingle, similarity).where("doc_id = component_id").groupBy("doc_id").count()
     kept = stored(kept, "simhash-kept")
-    rows = df.join(kept.select(F.col("doc_id").alias("__kept")), col(id_col) == F.col("__kept"), "left_semi")
+    # A merge join at every size: as many ids as documents stay, so this side is never one to broadcast.
+    rows = df.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), col(id_col) == F.col("__kept"), "left_semi")
     if not kept.where("count > 1").isEmpty():
         whole = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
         best = rows.groupBy(col(id_col).alias("__id")).agg(F.min_by(whole, F.coalesce(col(text_col), F.lit(""))).alias("r"))
