@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col, emit, slices
+from palimpsest.llm.common import emit, pick, slices
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
@@ -94,7 +94,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def events_of(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as `message` events; other columns are dropped."""
-    return turns.select(col("conv_id").cast("long"), col("turn").cast("long").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), col("role"), col("text"))
+    own = pick(turns, conv_id="conv_id", message="turn", role="role", text="text")
+    return own.select(F.col("conv_id").cast("long"), F.col("message").cast("long"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
 def conversations(events: DataFrame) -> DataFrame:

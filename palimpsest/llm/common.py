@@ -12,9 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def col(name: str):
-    """A top-level column, whatever characters its name has."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def position(df: DataFrame, name: str) -> int:
+    """Which column has this name: the first that is spelt so, else the first but for upper and lower case."""
+    for names, wanted in ((df.columns, name), ([c.lower() for c in df.columns], name.lower())):
+        if wanted in names:
+            return names.index(wanted)
+    raise ValueError(f"no column {name} among {', '.join(df.columns)}")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names that clash, or clash with an operator's own, don't matter."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """Only the wanted columns, each under its new name."""
+    plain = numbered(df)
+    return plain.select(*(plain[f"c{position(df, name)}"].alias(new) for new, name in wanted.items()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +59,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
     """(out_id, text as UTF-8 bytes); all other columns are dropped, so their names can't clash."""
-    return df.select(col(id_col).alias(out_id), col(text_col).cast("binary").alias("text"))
+    return pick(df, **{out_id: id_col, "text": text_col}).withColumn("text", F.col("text").cast("binary"))
 
 
 def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col, slices, texts
+from palimpsest.llm.common import numbered, pick, position, slices, texts
 
 BUCKETS = 1 << 13
 MAX_TRAIN = 1600
@@ -83,9 +83,9 @@ class Model:
         return [self.langs[i] if ok else UND for i, ok in zip(best, lettered)], np.where(lettered, score, 0.0), rejected
 
 
-def held_out(id_col: str = "doc_id"):
-    """Whether a row is kept out of training: crc32 of the id as text, mod 4, is 2; so is a null id."""
-    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
+def held_out():
+    """Whether the row of a doc_id is kept out of training: crc32 of it as text, mod 4, is 2; a null id is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -108,9 +108,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     At most `max_train` texts, as many of each language; their trigram counts (sparse, at most BUCKETS
     numbers each) are what reaches the driver. No such rows: a model that rejects everything.
     """
-    rows = df.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"), col(lang_col).alias("lang"), held_out(id_col).alias("held"))
-    rows = rows.where("not held and text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in df.select(held_out(id_col).alias("held"), col(lang_col).alias("lang")).where("not held and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_train).collect()}
+    labelled = pick(df, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null").withColumn("held", held_out()).where("not held")
+    rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").where("text is not null")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_train).collect()}
     each = max(1, max_train // max(1, len(sizes)))
     if not sizes:
         return Model((), np.zeros((0, BUCKETS), np.float32), np.zeros(0), np.ones(BUCKETS, np.float32))
@@ -180,4 +180,5 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             out.append(~model.predict([None if t is None else bytes(t) for t in text.iloc[i : i + 256]])[2])
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return df.where(kept(col(text_col).cast("binary")))
+    plain = numbered(df)
+    return plain.where(kept(F.col(f"c{position(df, text_col)}").cast("binary"))).toDF(*df.columns)

@@ -13,10 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from palimpsest.llm import webp
-from palimpsest.llm.common import col, emit, slices, texts
+from palimpsest.llm.common import emit, pick, slices, texts
 
 WIDTH = 64
 TILE = WIDTH * 2048
@@ -87,7 +86,7 @@ def pixels(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> D
                 for k, f in enumerate(frames(media or b"")):
                     yield emit(schema, {"doc_id": [doc], "frame": [k], "width": [f.shape[1]], "height": [f.shape[0]], "argb": [f.astype("<u4").tobytes()]})
 
-    return df.select(col(id_col).cast("long").alias("doc_id"), col(media_col).alias("media")).mapInArrow(run, "doc_id long, frame int, width int, height int, argb binary")
+    return pick(df, doc_id=id_col, media=media_col).mapInArrow(run, "doc_id long, frame int, width int, height int, argb binary")
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -104,4 +103,4 @@ def described(df: DataFrame) -> DataFrame:
                 "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [features(p) for p in back],
             })
 
-    return df.select("doc_id", "n_bytes", F.col("media")).mapInArrow(run, fields)
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, fields)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col
+from palimpsest.llm.common import numbered, pick, position
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
@@ -122,7 +122,7 @@ def metrics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null text has no words: all are 0.
     """
-    return df.select(col(id_col).alias("doc_id"), *[f(col(text_col)).alias(n) for n, f in METRICS.items()])
+    return pick(df, doc_id=id_col, text=text_col).select("doc_id", *[f(F.col("text")).alias(n) for n, f in METRICS.items()])
 
 
 def profile(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *MORE), text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -131,7 +131,7 @@ def profile(df: DataFrame, rules: tuple[Rule, ...] = (*BASE, *MORE), text_col: s
     Rows are drawn evenly over the whole table; `2 * sample_rows` bounds the draw.
     """
     share = min(1.0, sample_rows / max(1, df.count()))
-    sample = df.select(col(text_col).alias("text")).sample(share, seed=11).limit(2 * sample_rows).cache()
+    sample = pick(df, text=text_col).sample(share, seed=11).limit(2 * sample_rows).cache()
     try:
         size = max(1, sample.count())
         out = []
@@ -148,9 +148,10 @@ def accepted(df: DataFrame, rules: tuple[Rule, ...] | None = None, text_col: str
     """df's rows, all columns, that no rule rejects; rules in the order given, else as profiled on df."""
     if rules is None:
         rules = tuple(r for r, _, _ in profile(df, text_col=text_col))
+    plain, text = numbered(df), F.col(f"c{position(df, text_col)}")
     for rule in rules:
-        df = df.where(~rule.rejects(lambda m: METRICS[m](col(text_col))))
-    return df
+        plain = plain.where(~rule.rejects(lambda m: METRICS[m](text)))
+    return plain.toDF(*df.columns)
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:

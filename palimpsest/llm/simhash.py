@@ -16,8 +16,8 @@ Candidate keys, by the kind of search:
   under every choice of EXTRA blocks (7 blocks: 35 keys of 27 or 28 bits).
 * `similar`: links at a Jaccard similarity of the shingle sets. Two sets of similarity s differ in the share
   acos(2s / (1 + s)) / pi of their fingerprints' bits. No block scheme reaches that far, so each fingerprint of
-  256 bits is filed under sampled bits, in as many tables as it takes to meet a pair just at the threshold with
-  probability RECALL, and a closer one almost surely. Members of a key that are near enough to be worth a look
+  256 bits is filed under sampled bits, in as many tables as it takes to meet a pair at the threshold, and a standard
+  error off, with probability RECALL, and a closer one almost surely. Members of a key that are near enough to be worth a look
   yield a minimum spanning forest; it keeps the components at every smaller distance as well, so that its links can be
   verified one by one: the exact similarity of the two shingle sets decides. At that radius pivot coordinates
   never differ by enough to discard a pair, so the table serves the first search alone.
@@ -38,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col, emit, slices, stored, texts
+from palimpsest.llm.common import emit, numbered, position, slices, stored, texts
 
 SEED = 42
 MAX_BITS = 4
 EXTRA = 3
 TILE = 4096
 N_PIVOTS = 24
-RECALL = 0.98
+RECALL = 0.995
 LONG_WORDS = 4
 _DRAWN = np.random.default_rng(20240229)
 #: Reference fingerprints and word mixers: fixed, so that every task builds the same tables.
@@ -140,8 +140,8 @@ def by_blocks(nodes: DataFrame, max_bits: int = MAX_BITS, extra: int = EXTRA) ->
 
 
 def bit_tables(n: int, differ: float, words: int = LONG_WORDS, recall: float = RECALL) -> list[np.ndarray]:
-    """Which bits each table samples: enough bits for about 64 chance members a key, enough tables for recall."""
-    k = max(16, (max(n, 1) >> 6).bit_length())
+    """Which bits each table samples: enough bits for about 256 chance members a key, enough tables for recall."""
+    k = max(8, (n >> 8).bit_length())
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** k))
     drawn = np.random.default_rng(k)
     return [drawn.choice(64 * words, k, replace=False) for _ in range(tables)]
@@ -380,9 +380,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     nodes = stored(marked.select(*_columns(words)).distinct(), "simhash-nodes")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * words
-    # A pair just at the threshold is within 2.5 standard errors of the expected number of bits.
-    max_bits = round(bits * differ + 2.5 * math.sqrt(differ * (1 - differ) * bits))
-    filed = by_samples(nodes, bit_tables(nodes.count(), differ, words, recall), words)
+    error = math.sqrt(differ * (1 - differ) / bits)
+    # A pair just at the threshold is within 2.5 standard errors of the expected number of bits; the tables are made
+    # for one that lies a standard error off.
+    max_bits = round(bits * (differ + 2.5 * error))
+    filed = by_samples(nodes, bit_tables(nodes.count(), differ + error, words, recall), words)
     near = stored(links(filed, max_bits, words).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
     found = stored(verified(near, _sets(df, marked, near, id_col, text_col, shingle), similarity), "simhash-links")
     return marked.join(_classes(marked, components(found)), "node").select("doc_id", "component_id")
@@ -444,10 +446,10 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = similar(df, id_col, text_col, shingle, similarity).where("doc_id = component_id").groupBy("doc_id").count()
     kept = stored(kept, "simhash-kept")
+    plain, own, text = numbered(df), f"c{position(df, id_col)}", f"c{position(df, text_col)}"
     # A merge join at every size: as many ids as documents stay, so this side is never one to broadcast.
-    rows = df.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), col(id_col) == F.col("__kept"), "left_semi")
+    rows = plain.join(kept.select(F.col("doc_id").alias("kept")).hint("merge"), F.col(own) == F.col("kept"), "left_semi")
     if not kept.where("count > 1").isEmpty():
-        whole = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-        best = rows.groupBy(col(id_col).alias("__id")).agg(F.min_by(whole, F.coalesce(col(text_col), F.lit(""))).alias("r"))
-        rows = best.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(df.columns)])
-    return rows.unionByName(df.where(col(id_col).isNull()))
+        best = rows.groupBy(F.col(own).alias("id")).agg(F.min_by(F.struct(*plain.columns), F.coalesce(text, F.lit(""))).alias("r"))
+        rows = best.select("r.*")
+    return rows.unionByName(plain.where(F.col(own).isNull())).toDF(*df.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col, stored
+from palimpsest.llm.common import pick, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)(#?.*)$"
@@ -108,8 +108,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_
     verdict is the fixed rule's; without one, `block` if a mined rule fires, else `allow`. A page is labelled
     by the labels row with its id (a repeated id: the largest label; a null label: none).
     """
-    own = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"))
-    marks = labels.groupBy(col(label_id).alias("page_id")).agg((F.max(col(label_col)) > 0).alias("block"))
+    own = pick(pages, page_id=id_col, url=url_col)
+    marks = pick(labels, page_id=label_id, label=label_col).groupBy("page_id").agg((F.max("label") > 0).alias("block"))
     index = mine(own.join(marks, "page_id").select(tokens(F.col("url")).alias("tokens"), "block"), **mining)
     seen = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens"))
     ruled = seen.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))

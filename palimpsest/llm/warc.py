@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col
+from palimpsest.llm.common import pick
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
@@ -39,7 +39,8 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     of at least `least_bytes` bytes the one with the smallest id is the response; null ids come last, and
     of repeated ids any one row is it. A null payload is an empty one.
     """
-    own = pages.select(col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("payload"))
+    own = pick(pages, page_id=id_col, url=url_col, payload=html_col)
+    own = own.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", F.coalesce("payload", F.lit("")).alias("payload"))
     own = own.withColumn("payload_digest", base32_sha1(F.encode("payload", "UTF-8")))
     own = own.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("row").cast("string")))
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("row"))
