@@ -46,7 +46,10 @@ def spans(pattern: regex.Pattern, text: str, start: int, end: int) -> list[int]:
 
 
 def pretokens(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """The pattern's matches in text, found chunk by chunk; equal to pattern.findall(text)."""
+    """The pattern's matches in text, found chunk by chunk; equal to pattern.findall(text).
+
+    The pattern must match some of every text that is not empty, so that its matches leave no gap.
+    """
     n = len(text)
     if n <= chunk + overlap:
         return pattern.findall(text)
@@ -66,7 +69,7 @@ def pretokens(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: in
         meet = next((s for s in sure if s >= begins[k + 1] and s in at), None)
         if meet is None:  # no common boundary in the overlap: scan on from the last sure one
             sure = [s for s in sure if s < begins[k + 1]]
-            resume = sure.pop() if sure else starts.pop()
+            resume = sure.pop() if sure else starts.pop() if starts else 0
             last = right[-2] if len(right) > 2 else begins[k + 1]
             extra = []
             for m in pattern.finditer(text, resume):

@@ -119,10 +119,10 @@ class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
+        model, pre = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers")
         suffix = model["end_of_word_suffix"]
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        if kinds != ["NFC", "Replace", "Lowercase"] or pre[0]["pattern"] != {"Regex": PATTERN} or pre[1]["type"] != "ByteLevel" or not suffix:
+        if not pre or kinds != ["NFC", "Replace", "Lowercase"] or pre[0]["pattern"] != {"Regex": PATTERN} or pre[1]["type"] != "ByteLevel" or not suffix:
             raise ValueError("not the kind of tokenizer that this transducer is compiled for: " + path)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None

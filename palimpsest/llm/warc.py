@@ -80,16 +80,19 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
     def more() -> bool:
         nonlocal fed, inflate, at
-        if fed >= len(data) and not inflate.unconsumed_tail:
+        chunk = inflate.unconsumed_tail
+        if inflate.eof:  # the next member, if there is one
+            chunk, inflate = inflate.unused_data, zlib.decompressobj(31)
+        if not chunk:
+            chunk = data[fed : (fed := fed + (1 << 18))]
+        if not chunk:
             return False
         del buffer[:at]
         at = 0
-        if inflate.eof:  # the next member
-            rest, inflate = inflate.unused_data, zlib.decompressobj(31)
-            chunk = rest
-        else:
-            chunk = inflate.unconsumed_tail or data[fed : (fed := fed + (1 << 18))]
-        buffer.extend(inflate.decompress(chunk, 1 << 22))
+        try:
+            buffer.extend(inflate.decompress(chunk, 1 << 22))
+        except zlib.error as e:
+            raise ValueError("no gzip data") from e
         return True
 
     while True:
