@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, LongType
 
 _POLYNOMIAL = 0x82F63B78
 _MASK_DELTA = 0xA282EAD8
@@ -56,12 +57,12 @@ def shard_hash(keys: list[bytes], shards: int = 8) -> np.ndarray:
     return (state & np.uint64(shards - 1)).astype(np.int32)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def exact_shard(key: pd.Series) -> pd.Series:
     return pd.Series(shard_hash([k.encode() for k in key]))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def crc32c_of(data: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else crc32c(bytes(x)) for x in data], dtype="Int64")
 
