@@ -349,10 +349,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _lowest(marked: DataFrame) -> DataFrame:
+    """(node, low): the smallest doc_id of each fingerprint; copies are combined before the shuffle."""
+    return marked.groupBy("node").agg(F.min("doc_id").alias("low"))
+
+
 def _classes(marked: DataFrame, tree: DataFrame) -> DataFrame:
     """(node, component_id): the smallest doc_id of each fingerprint's component."""
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = nodes.join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    named = _lowest(marked).join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return stored(named.join(lowest, "root").select("node", "component_id"), "simhash-classes")
 
@@ -404,7 +408,7 @@ def _sets(df: DataFrame, marked: DataFrame, near: DataFrame, id_col: str, text_c
     linked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
     # The texts meet their fingerprints again by id; a null or repeated id can't name a text, so nodes are
     # computed once more from the few texts that come through.
-    ids = marked.join(linked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ids = _lowest(marked).join(linked, "node", "left_semi").select(F.col("low").alias("doc_id")).distinct()
     some = texts(df, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
