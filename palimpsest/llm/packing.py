@@ -29,7 +29,8 @@ from palimpsest.llm.bytebpe import pretokens
 from palimpsest.llm.common import slices, stored, texts
 
 CAPACITY = 1024
-#: The plan is broadcast up to this many rows (40 bytes each); beyond, it is joined by shuffle.
+#: The plan is broadcast up to this many rows (40 bytes each); beyond, it is joined by shuffle. Its size follows
+#: from the capacity alone: some 7,000 rows for 10**10 documents of all lengths up to 1024.
 BROADCAST_ROWS = 100_000
 #: Texts beyond this many characters are pre-tokenised chunk by chunk.
 LONG_TEXT = 1 << 18
@@ -162,7 +163,8 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col
     offsets = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     sizes = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = sweep(sizes, capacity)
-    ranked = cut.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
+    # A merge join at every size: there are as many offsets as tasks times lengths.
+    ranked = cut.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
     fields = "length long, rank_lo long, rank_hi long, sequence_lo long, place long"
     columns = list(zip(*plan)) if plan else [()] * 5
     rows = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in fields.split(", ")]))
