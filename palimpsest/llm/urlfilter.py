@@ -110,7 +110,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_
     """
     own = pick(pages, page_id=id_col, url=url_col)
     marks = pick(labels, page_id=label_id, label=label_col).groupBy("page_id").agg((F.max("label") > 0).alias("block"))
-    index = mine(own.join(marks, "page_id").select(tokens(F.col("url")).alias("tokens"), "block"), **mining)
+    # A merge join at every size: labels grow with the pages.
+    index = mine(own.join(marks.hint("merge"), "page_id").select(tokens(F.col("url")).alias("tokens"), "block"), **mining)
     seen = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens"))
     ruled = seen.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
     if index is None:
