@@ -270,7 +270,7 @@ def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
         own = filed.join(crowded, "key", "left").withColumn("own", F.when(t > 1, F.pmod(F.xxhash64(*own_columns), t)).otherwise(0).cast("int"))
         paired = own.withColumn("p", F.explode(F.sequence(F.lit(0), t - 1)))
         dealt = paired.select("key", F.least("own", "p").alias("tile"), F.greatest("own", "p").alias("other"), "own", *own_columns)
-    parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "own")
+    parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "own", *own_columns)  # ties of distance fall the same way each time
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
