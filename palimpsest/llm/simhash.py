@@ -356,8 +356,9 @@ def _lowest(marked: DataFrame) -> DataFrame:
 
 def _classes(marked: DataFrame, tree: DataFrame) -> DataFrame:
     """(node, component_id): the smallest doc_id of each fingerprint's component."""
-    named = _lowest(marked).join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(_lowest(marked).join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "simhash-named")
+    # Written first: Spark splits a large component in a join of two shuffles, but not above an aggregate.
+    lowest = stored(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")
     return stored(named.join(lowest, "root").select("node", "component_id"), "simhash-classes")
 
 
