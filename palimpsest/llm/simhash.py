@@ -18,9 +18,11 @@ Candidate keys, by the kind of search:
   acos(2s / (1 + s)) / pi of their fingerprints' bits. No block scheme reaches that far, so each fingerprint of
   256 bits is filed under sampled bits, in as many tables as it takes to meet a pair at the threshold, and a standard
   error off, with probability RECALL, and a closer one almost surely. Members of a key that are near enough to be worth a look
-  yield a minimum spanning forest; it keeps the components at every smaller distance as well, so that its links can be
-  verified one by one: the exact similarity of the two shingle sets decides. At that radius pivot coordinates
-  never differ by enough to discard a pair, so the table serves the first search alone.
+  yield a minimum spanning forest of bit distances, whose links the exact similarity of the two shingle sets verifies.
+  A forest spans bit distances, not similarities: where a key holds more near pairs than its forest has links, and the
+  verified links leave its members in several components, every near pair between two of them is verified as well
+  (`crossing`), in the first table where it meets. At that radius pivot coordinates never differ by enough to discard a
+  pair, so the table serves the first search alone.
 
 Crowded keys (one family of near copies may hold a third of all rows) are cut into tiles of TILE members; every
 pair of tiles is a row group of its own, dealt to its own task, so no task ever holds more than two
@@ -215,8 +217,11 @@ def links_within(fps: np.ndarray, split: int | None, max_bits: int) -> list[tupl
     return out
 
 
-def forest(fps: np.ndarray, side: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the pairs of rows within max_bits bits; with `side`, of pairs across it."""
+def forest(fps: np.ndarray, side: np.ndarray | None, max_bits: int, degree: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the pairs of rows within max_bits bits; with `side`, of pairs across it.
+
+    `degree`, zeros, receives the number of such pairs of each row.
+    """
     n, far = len(fps), 1 << 14
     best, origin, todo, out, at = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), [], 0
     for _ in range(n - 1):
@@ -224,6 +229,10 @@ def forest(fps: np.ndarray, side: np.ndarray | None, max_bits: int) -> list[tupl
         d = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64)
         if side is not None:
             d[side == side[at]] = far
+        if degree is not None:
+            met = todo & (d <= max_bits)
+            degree[met] += 1
+            degree[at] += np.count_nonzero(met)
         nearer = todo & (d < best)
         best[nearer], origin[nearer] = d[nearer], at
         at = int(np.where(todo, best, far + 1).argmin())
@@ -233,13 +242,18 @@ def forest(fps: np.ndarray, side: np.ndarray | None, max_bits: int) -> list[tupl
 
 
 def forests(fps: np.ndarray, begins: np.ndarray, ends: np.ndarray, max_bits: int, whole: int = 512):
-    """(a, b) row numbers of the forests of many groups of rows; groups of one size are compared at once."""
+    """(rows, links, degrees) of each group of rows with near pairs; groups of one size are compared at once.
+
+    links are a forest's pairs of positions in `rows`, degrees as in `forest`.
+    """
     sizes = ends - begins
     for size in np.unique(sizes[sizes > 1]).tolist():
         own = begins[sizes == size]
         if size > whole:
             for lo in own.tolist():
-                yield from ((lo + i, lo + j) for i, j in forest(fps[lo : lo + size], None, max_bits))
+                degree = np.zeros(size, np.int64)
+                pairs = forest(fps[lo : lo + size], None, max_bits, degree)
+                yield lo + np.arange(size), pairs, degree
             continue
         step = max(1, (1 << 21) // size**2)
         for k in range(0, len(own), step):
@@ -251,14 +265,38 @@ def forests(fps: np.ndarray, begins: np.ndarray, ends: np.ndarray, max_bits: int
             near = d <= max_bits
             near[:, np.arange(size), np.arange(size)] = False
             for g in np.flatnonzero(near.any(axis=(1, 2))).tolist():
-                some = np.flatnonzero(near[g].any(axis=1))
-                yield from ((int(lows[g] + some[i]), int(lows[g] + some[j])) for i, j in forest(rows[g][some], None, max_bits))
+                degree = near[g].sum(axis=1)
+                some = np.flatnonzero(degree)
+                yield lows[g] + some, forest(rows[g][some], None, max_bits), degree[some]
+
+
+def tangled(pairs: list[tuple[int, int]], degree: np.ndarray) -> np.ndarray:
+    """The first row of each row's component where it has more near pairs than forest links, else -1."""
+    n = len(degree)
+    if degree.sum() == 2 * len(pairs):
+        return np.full(n, -1)
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        parent[max(x, y)] = min(x, y)
+    first = np.array([find(x) for x in range(n)])
+    spare = np.bincount(first, degree, n) > 2 * (np.bincount(first, minlength=n) - 1)
+    return np.where(spare[first], first, -1)
 
 
 def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
     """(a, b): spanning links between the distinct fingerprints filed under each key, as nodes.
 
-    Links of one-word fingerprints span each component; those of longer ones are a minimum spanning forest.
+    Links of one-word fingerprints span each component. Those of longer ones are a minimum spanning forest; further rows
+    (a, b, part, key) then list the members a of each `tangled` component, named part, with b the side of a tile in a
+    pair of tiles, else -1. Links have null for part and key.
     """
     own_columns = _columns(words)
     crowded = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
@@ -271,7 +309,8 @@ def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
         paired = own.withColumn("p", F.explode(F.sequence(F.lit(0), t - 1)))
         dealt = paired.select("key", F.least("own", "p").alias("tile"), F.greatest("own", "p").alias("other"), "own", *own_columns)
     parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "own", *own_columns)  # ties of distance fall the same way each time
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["a", "b"] if words == 1 else ["a", "b", "part", "key"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
         held = None
@@ -289,37 +328,54 @@ def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
             yield from found(held, np.array([len(held[0])]))
 
     def found(rows, cut):
-        tile, other, own = rows[1:4]
+        key, tile, other, own = rows[:4]
         fps = np.stack([x.view(np.uint64) for x in rows[4:]], axis=1)
         begins = np.concatenate([[0], cut[:-1]])
         a, z = [], []
         crossed = tile[begins] != other[begins]
         if words > 1:
-            pairs = forests(fps, begins[~crossed], cut[~crossed], max_bits)
-            for i, j in pairs:
-                a.append(i)
-                z.append(j)
+            yield from spanned(key, tile, other, own, fps, begins, cut, crossed)
         else:
             two = (cut - begins == 2) & ~crossed  # pairs, the most frequent groups, all at once
             at = begins[two]
             at = at[np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1) <= max_bits]
             a += at.tolist()
             z += (at + 1).tolist()
-        for lo, hi, cross in zip(begins.tolist(), cut.tolist(), crossed.tolist()):
-            if not cross and (words > 1 or hi - lo < 3):
-                continue
-            split = int(np.searchsorted(own[lo:hi], other[lo])) if cross else None
-            if words > 1:
-                pairs = forest(fps[lo:hi], np.arange(hi - lo) < split, max_bits)
-            else:
-                pairs = links_within(fps[lo:hi], split, max_bits)
-            for i, j in pairs:
-                a.append(lo + i)
-                z.append(lo + j)
+            for lo, hi, cross in zip(begins.tolist(), cut.tolist(), crossed.tolist()):
+                if not cross and hi - lo < 3:
+                    continue
+                split = int(np.searchsorted(own[lo:hi], other[lo])) if cross else None
+                for i, j in links_within(fps[lo:hi], split, max_bits):
+                    a.append(lo + i)
+                    z.append(lo + j)
         if a:
             yield emit(schema, {"a": node_of(fps[a]), "b": node_of(fps[z])})
 
-    return parts.mapInArrow(run, "a long, b long")
+    def spanned(key, tile, other, own, fps, begins, cut, crossed):
+        def across():
+            for lo, hi in zip(begins[crossed].tolist(), cut[crossed].tolist()):
+                degree = np.zeros(hi - lo, np.int64)
+                pairs = forest(fps[lo:hi], own[lo:hi] == other[lo], max_bits, degree)
+                yield np.arange(lo, hi), pairs, degree
+
+        for some, side in ((forests(fps, begins[~crossed], cut[~crossed], max_bits), False), (across(), True)):
+            a, z, member, part = [], [], [], []
+            for at, pairs, degree in some:
+                a += [int(at[i]) for i, _ in pairs]
+                z += [int(at[j]) for _, j in pairs]
+                first = tangled(pairs, degree)
+                for f in np.unique(first[first >= 0]).tolist():
+                    within = at[first == f]
+                    name = xxhash.xxh64_intdigest(np.array([key[at[0]], tile[at[0]], other[at[0]], at[f] - at[0]], np.int64).tobytes(), SEED)
+                    member += within.tolist()
+                    part += [name] * len(within)
+            if a:
+                yield emit(schema, {"a": node_of(fps[a]), "b": node_of(fps[z]), "part": [None] * len(a), "key": [None] * len(a)})
+            if member:
+                b = (own[member] == other[member]).astype(np.int64) if side else np.full(len(member), -1)
+                yield emit(schema, {"a": node_of(fps[member]), "b": b, "part": np.array(part, np.uint64).view(np.int64), "key": key[member]})
+
+    return parts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -389,10 +445,16 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     # A pair just at the threshold is within 2.5 standard errors of the expected number of bits; the tables are made
     # for one that lies a standard error off.
     max_bits = round(bits * (differ + 2.5 * error))
-    filed = by_samples(nodes, bit_tables(nodes.count(), differ + error, words, recall), words)
-    near = stored(links(filed, max_bits, words).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
-    found = stored(verified(near, _sets(df, marked, near, id_col, text_col, shingle), similarity), "simhash-links")
-    return marked.join(_classes(marked, components(found)), "node").select("doc_id", "component_id")
+    tables = bit_tables(nodes.count(), differ + error, words, recall)
+    met = stored(links(by_samples(nodes, tables, words), max_bits, words), "simhash-met")
+    near = stored(met.where("part is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
+    sets = _sets(df, marked, near, id_col, text_col, shingle)
+    tree = components(stored(verified(near, sets, similarity), "simhash-links"))
+    members = met.where("part is not null").select("part", "key", F.col("a").alias("node"), F.col("b").alias("side"))
+    more = stored(crossing(members, tree, sets, tables, max_bits, similarity), "simhash-crossing")
+    if not more.isEmpty():
+        tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    return marked.join(_classes(marked, tree), "node").select("doc_id", "component_id")
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -405,21 +467,22 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, marked: DataFrame, near: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, set binary) of the fingerprints that have a link to verify, from one text of each."""
+    """(node, set binary, f0, f1, ...) of the fingerprints that have a link to verify, from one text of each."""
     linked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
     # The texts meet their fingerprints again by id; a null or repeated id can't name a text, so nodes are
     # computed once more from the few texts that come through.
     ids = _lowest(marked).join(linked, "node", "left_semi").select(F.col("low").alias("doc_id")).distinct()
     some = texts(df, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    names = _columns(LONG_WORDS)
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary()), *((n, pa.int64()) for n in names)])
 
     def run(batches):
         for b in slices(batches):
             own = [t or b"" for t in b.column(1).to_pylist()]
             fps = np.array([fingerprint(t, shingle, LONG_WORDS) for t in own], dtype=np.uint64).reshape(-1, LONG_WORDS)
-            yield emit(schema, {"node": node_of(fps), "set": [shingles(t, shingle).tobytes() for t in own]})
+            yield emit(schema, {"node": node_of(fps), "set": [shingles(t, shingle).tobytes() for t in own]} | {n: np.ascontiguousarray(fps[:, i]).view(np.int64) for i, n in enumerate(names)})
 
-    return stored(some.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "simhash-sets")
+    return stored(some.mapInArrow(run, "node long, set binary, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["node"]), "simhash-sets")
 
 
 def verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -443,6 +506,62 @@ def verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return near.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def joining(fps: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, filed: np.ndarray, max_bits: int, similarity: float, step: int = 256) -> list[tuple[int, int]]:
+    """Pairs of rows at this Jaccard similarity that join the components `comp` (changed in place).
+
+    Tested are the pairs within max_bits bits, of two components, on two sides (-1: no sides), that share none of `filed`'s
+    columns: such a pair is tested under that key.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    flag, out = np.zeros(len(terms), bool), []
+    for i in range(len(fps) - 1):
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+        j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1) <= max_bits]
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+        j = j[~(filed[j] == filed[i]).any(axis=1)]
+        if not len(j):
+            continue
+        flag[own[i]] = True
+        for k in range(0, len(j), step):
+            some = j[k : k + step]
+            some = some[comp[some] != comp[i]]
+            if not len(some):
+                continue
+            both = np.add.reduceat(flag[np.concatenate([own[x] for x in some.tolist()])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for x in some[both >= similarity * (sizes[some] + sizes[i] - both)].tolist():
+                if comp[x] != comp[i]:
+                    out.append((i, x))
+                    comp[comp == comp[x]] = comp[i]
+        flag[own[i]] = False
+    return out
+
+
+def crossing(members: DataFrame, tree: DataFrame, sets: DataFrame, tables: list[np.ndarray], max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): verified links between the components of `tree` among the members (part, key, node, side) of each part."""
+    rooted = members.join(tree, "node", "left").select("part", "key", "node", "side", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("part")
+    left = stored(rooted.join(mixed, "part", "left_semi"), "simhash-mixed")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    base, picks, names = 1 << len(tables[0]), np.array(tables), _columns(LONG_WORDS)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("node")
+        column = lambda n: part.column(n).to_numpy()
+        node, key = column("node"), column("key")
+        fps = np.stack([column(n).view(np.uint64) for n in names], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        before = picks[: int(key[0]) // base]
+        filed = (bits[:, before].astype(np.int64) << np.arange(picks.shape[1])).sum(axis=2)
+        own = [np.frombuffer(x, np.uint64) for x in part.column("set").to_pylist()]
+        pairs = joining(fps, own, column("root").copy(), column("side"), filed, max_bits, similarity)
+        return pa.table({"a": node[[i for i, _ in pairs]], "b": node[[j for _, j in pairs]]} if pairs else {"a": [], "b": []}, schema=schema)
+
+    return left.join(sets, "node").groupBy("part").applyInArrow(run, "a long, b long")
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df's rows, with all their columns, whose id is the smallest of its class: one of each group stays.
 

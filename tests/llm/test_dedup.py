@@ -116,6 +116,28 @@ def test_similar_texts_share_a_class(docs, families, clashing, monkeypatch, tile
     assert sorted(r[0] for r in kept) == sorted(set(expected)) and len(kept[0]) == 16
 
 
+@pytest.mark.parametrize("tile", [4096, 64])
+def test_links_of_a_family_below_the_threshold(docs, monkeypatch, tile):
+    """Most pairs are near 0.75: a forest of bit distances skips many of the few links at 0.8."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [edited(rng, words, rng.randrange(4, 7)) for _ in range(240)]
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in texts]
+    fps = np.array([simhash.fingerprint(t.encode(), 5, 4) for t in texts])
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    differ = np.arccos(1.6 / 1.8) / np.pi
+    error = (differ * (1 - differ) / 256) ** 0.5
+    tables = simhash.bit_tables(len({f.tobytes() for f in fps}), differ + error)
+    meet = np.array([(bits[:, None, t] == bits[None, :, t]).all(axis=2) for t in tables]).any(axis=0)
+    meet &= (bits[:, None, :] != bits[None, :, :]).sum(axis=2) <= round(256 * (differ + 2.5 * error))
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    expected = groups(len(texts), lambda a, b: meet[a, b] and alike(a, b))
+    assert 1 < len(set(expected)) < len(texts)
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs([(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_deduplicated_odd_rows(docs, oddities):
     rows = docs([*oddities, (3, "a", "en")])
     kept = simhash.deduplicated(rows).collect()
