@@ -132,3 +132,18 @@ def test_rules_are_mined_pruned_and_matched(spark):
     labelled = pages.where("page_id < 200").select(urlfilter.tokens(pages.url).alias("tokens"), (pages.page_id % 2 == 1).alias("block"))
     index = urlfilter.mine(labelled)
     assert {(r.size, r.token) for r in index.collect()} == {(1, "path1:pills"), (1, "query:?ref")}
+
+
+def test_a_site_and_a_deep_segment_get_their_rules(spark):
+    """Parts beyond the first and last labels and the second segment; a template of many parts is no burden."""
+    deep = "/".join(f"s{i}" for i in range(20))
+    rows = [(i, f"http://www.{'farm' if i % 3 == 0 else f'site{i % 7}'}.example.com/a/b", i % 3 == 0) for i in range(300)]
+    rows += [(1000 + i, f"http://one.org/a/b/{'pills' if i % 2 else 'news'}/{i}", i % 2 == 1) for i in range(300)]
+    rows += [(2000 + i, f"http://two.org/{deep}/{'x' if i % 2 else 'y'}", False) for i in range(200)]
+    rows += [(3000 + i, f"http://three.org/{deep}/z", True) for i in range(200)]
+    new = {5000: ("http://www.farm.example.com/c", "block"), 5001: ("http://www.site1.example.com/a/b", "allow"), 5002: ("http://one.org/q/r/pills/1", "block"), 5003: ("http://one.org/a/b/news/1", "allow"), 5004: (f"http://two.org/{deep}/x", "allow"), 5005: (f"http://four.org/{deep}/z", "block")}
+    pages = spark.createDataFrame([(i, u, None) for i, u, _ in rows] + [(i, u, None) for i, (u, _) in new.items()], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, 1, int(bad)) for i, _, bad in rows], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r.verdict for r in urlfilter.judge(pages, labels, []).collect()}
+    assert {i: found[i] for i in new} == {i: v for i, (_, v) in new.items()}
+    assert all(found[i] == ("block" if bad else "allow") for i, _, bad in rows)
