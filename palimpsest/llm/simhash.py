@@ -37,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import emit, numbered, position, slices, stored, texts
@@ -104,20 +104,25 @@ def _columns(words: int) -> list[str]:
     return [f"f{i}" for i in range(words)]
 
 
+def text_hash(text) -> Column:
+    """With the id it names a row, but for exact copies of it; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, node, f0, f1, ...): one row per input row. A null text counts as empty (fingerprint 0).
+    """(doc_id, node, h, f0, f1, ...): one row per input row. A null text counts as empty (fingerprint 0).
 
-    node names the fingerprint in one number.
+    node names the fingerprint in one number; h is the text's hash.
     """
-    names = ["doc_id", "node", *_columns(words)]
+    names = ["doc_id", "node", "h", *_columns(words)]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
         for b in slices(batches):
             fps = np.array([fingerprint(t or b"", shingle, words) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(node_of(fps)), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(node_of(fps)), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(words))], schema=schema)
 
-    return texts(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts(df, id_col, text_col).withColumn("h", text_hash(F.col("text"))).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def block_masks(max_bits: int = MAX_BITS, extra: int = EXTRA) -> list[int]:
@@ -436,6 +441,12 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
     Null, empty and wordless texts are one class. Null and repeated ids as in `near_duplicates`.
     """
+    marked, tree = _similar(df, id_col, text_col, shingle, similarity, recall)
+    return marked.join(_classes(marked, tree), "node").select("doc_id", "component_id")
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and (node, root) of those that have a link."""
     words = LONG_WORDS
     marked = stored(fingerprints(df, id_col, text_col, shingle, words), "simhash")
     nodes = stored(marked.select(*_columns(words)).distinct(), "simhash-nodes")
@@ -454,7 +465,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     more = stored(crossing(members, tree, sets, tables, max_bits, similarity), "simhash-crossing")
     if not more.isEmpty():
         tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    return marked.join(_classes(marked, tree), "node").select("doc_id", "component_id")
+    return marked, tree
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -469,10 +480,11 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
 def _sets(df: DataFrame, marked: DataFrame, near: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, set binary, f0, f1, ...) of the fingerprints that have a link to verify, from one text of each."""
     linked = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
-    # The texts meet their fingerprints again by id; a null or repeated id can't name a text, so nodes are
-    # computed once more from the few texts that come through.
-    ids = _lowest(marked).join(linked, "node", "left_semi").select(F.col("low").alias("doc_id")).distinct()
-    some = texts(df, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
+    # The texts meet their fingerprints again by id and hash; nodes are computed once more from the few that come through.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one")
+    rows = marked.groupBy("node").agg(one).join(linked, "node", "left_semi").select(F.col("one.doc_id").alias("id"), F.col("one.h").alias("own")).distinct()
+    some = texts(df, id_col, text_col)
+    some = some.join(rows.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash(F.col("text")) == F.col("own")), "left_semi")
     names = _columns(LONG_WORDS)
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary()), *((n, pa.int64()) for n in names)])
 
@@ -563,17 +575,25 @@ def crossing(members: DataFrame, tree: DataFrame, sets: DataFrame, tables: list[
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df's rows, with all their columns, whose id is the smallest of its class: one of each group stays.
+    """df's rows, with all their columns: one of each class stays, the one with the smallest id.
 
-    Classes are those of `similar`. Rows with a null id stay: no id says which of them to prefer. Where the
-    smallest id itself is repeated, one of its rows stays, the one with the smallest text (null: empty).
+    Classes are those of `similar`. A null id comes after all others; where the smallest id is repeated within a class,
+    its row with the smallest text stays (null: empty).
     """
-    kept = similar(df, id_col, text_col, shingle, similarity).where("doc_id = component_id").groupBy("doc_id").count()
+    marked, tree = _similar(df, id_col, text_col, shingle, similarity, RECALL)
+    named = stored(_lowest(marked).join(tree, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "simhash-named")
+    lowest = stored(named.groupBy("root").agg(F.min("low").alias("least")), "simhash-lowest")
+    first = stored(named.join(lowest, "root").where("low <=> least").select("node", "root", "low"), "simhash-first")
+    # Copies of a row share its id and hash, and so its class: each (id, h) has one root.
+    kept = marked.join(first, "node").where("doc_id <=> low").groupBy("root", F.col("doc_id").alias("kept"), "h").count()
     kept = stored(kept, "simhash-kept")
+    several = stored(kept.groupBy("root").agg(F.sum("count").alias("n")).where("n > 1").select("root"), "simhash-several")
     plain, own, text = numbered(df), f"c{position(df, id_col)}", f"c{position(df, text_col)}"
+    same = F.col(own).eqNullSafe(F.col("kept")) & (text_hash(F.col(text)) == F.col("h"))
     # A merge join at every size: as many ids as documents stay, so this side is never one to broadcast.
-    rows = plain.join(kept.select(F.col("doc_id").alias("kept")).hint("merge"), F.col(own) == F.col("kept"), "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        best = rows.groupBy(F.col(own).alias("id")).agg(F.min_by(F.struct(*plain.columns), F.coalesce(text, F.lit(""))).alias("r"))
-        rows = best.select("r.*")
-    return rows.unionByName(plain.where(F.col(own).isNull())).toDF(*df.columns)
+    rows = plain.join(kept.join(several, "root", "left_anti").hint("merge"), same, "left_semi")
+    if not several.isEmpty():
+        rest = plain.join(kept.join(several, "root", "left_semi"), same)
+        best = rest.groupBy("root").agg(F.min_by(F.struct(*plain.columns), F.coalesce(text, F.lit(""))).alias("r"))
+        rows = rows.unionByName(best.select("r.*"))
+    return rows.toDF(*df.columns)

@@ -146,6 +146,15 @@ def test_deduplicated_odd_rows(docs, oddities):
     assert simhash.deduplicated(docs([])).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_each_class(docs):
+    """Ids that name several texts, or none: rows are chosen by their class."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(7, a, None), (7, b, None), (8, b, None), (9, c, None), (3, d, None), (9, d + " more", None), (None, a, None), (None, "x y", None), (None, "x y", None), (7, a, None), (10, "x y", None), (None, "p q", None), (None, "p q", None)]
+    rows += [(None, " ".join(f"e{i}" for i in range(60)) + end, None) for end in (" more", "")]
+    kept = simhash.deduplicated(docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("7", a), ("7", b), ("9", c), ("3", d), ("10", "x y"), ("None", "p q"), ("None", rows[-1][1])])
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, None)]
