@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.keys import entry_bytes
 from palimpsest.plans.visibility import winners
 
-FILE_BYTES = 3 << 20
 BUCKETS = 256
 
 
@@ -55,12 +53,10 @@ def compact(log: DataFrame, deeper: DataFrame, retain_since: int | None = None)
     return kept
 
 
-def file_count(log: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    """How many files of about file_bytes a log needs."""
-    total = log.agg(F.sum(entry_bytes(F.col("key"), F.col("value")))).first()[0] or 0
-    return max(1, -(-total // file_bytes))
+def in_files(log: DataFrame, n: int | None) -> DataFrame:
+    """The log dealt to key ranges, each sorted by key and newest version first; one file each when written.
 
-
-def in_files(log: DataFrame, n: int) -> DataFrame:
-    """The log dealt to n key ranges, each sorted by key and newest version first; one file each when written."""
-    return log.repartitionByRange(n, "key").sortWithinPartitions("key", F.desc("tid"), F.desc("seq"))
+    None for n: as many as the session shuffles to, less those that adaptive execution joins.
+    """
+    dealt = log.repartitionByRange("key") if n is None else log.repartitionByRange(n, "key")
+    return dealt.sortWithinPartitions("key", F.desc("tid"), F.desc("seq"))

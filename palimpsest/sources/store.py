@@ -1,41 +1,49 @@
 """A persistent versioned key-value store over Parquet.
 
-Layout under the root: `data/sst_id=<n>/` (one run each, sorted by key and newest version first), `manifest/version=<n>/`
-(the catalogue as an event log of added and removed runs) and `wal/segment=<n>/` (synced writes not yet flushed).
+Layout under the root: `data/<attempt>/level=<l>/sst_id=<n>/` (one run each, sorted by key and newest version first),
+`manifest/version=<n>/` (the catalogue as an event log of added and removed runs), `manifest/snapshot=<n>/` (the live runs
+as of version n, so that opening reads a bounded number of events) and `wal/wal.<n>` (writes not yet in runs).
 
-A commit writes data first and then one manifest version; readers resolve the live runs from the manifest, so a
-half-written flush or compaction is never seen, and a version that exists already makes the write fail rather
-than overwrite. Every manifest version carries the last log segment that is in runs; recovery replays the later ones.
+Every attempt to write runs has a folder of its own, which the manifest names. A commit writes data first and then
+one manifest version, which gets its name by a rename once it is whole; so what a failed attempt left is never
+read, and a version that exists is never replaced. Every version carries the last log segment that is in runs; recovery
+replays the later ones. Opening begins a segment above both, and never appends to one that was there.
 
-Single writes gather on the driver, as they would in a memtable, and go to a run at `flush`; `write_frame` takes
-a whole DataFrame straight to a run and is the way in for data of any size.
+Single writes are logged as they are made, gather on the driver, as they would in a memtable, and go to a run at
+`flush`; `write_frame` takes a whole DataFrame straight to a run and is the way in for data of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.keys import entry_bytes
+from palimpsest.functions.keys import ENTRY_OVERHEAD, entry_bytes
 from palimpsest.operators import catalog, compaction, reads, recovery
 from palimpsest.operators.transactions import Isolation, Transaction
 from palimpsest.plans.log import LOG, checked
 from palimpsest.plans.visibility import live
-from palimpsest.sources.files import Files
+from palimpsest.sources import binary
+from palimpsest.sources.files import Appender, Files
 
-MANIFEST = "version long, action string, sst_id long, level int, min_tid long, max_tid long, first_key string, last_key string, n_rows long, n_bytes long, checkpoint long, source string, batch long, segment long"
-WAL = "key string, value string, tid long, pos long"
-META = "sst_id, level, min_tid, max_tid, first_key, last_key, n_rows, n_bytes".split(", ")
+META = "sst_id, level, min_tid, max_tid, first_key, last_key, n_rows, n_bytes, path".split(", ")
+MANIFEST = "version long, action string, sst_id long, level int, min_tid long, max_tid long, first_key string, last_key string, n_rows long, n_bytes long, path string, checkpoint long, source string, batch long, segment long, next_sst long"
+RUN = "key string, value string, tid long, seq long, size long"
+SNAPSHOT_EVERY = 64
+SEGMENT_BYTES = 64 << 20
 
 
 class VersionedStore:
     """put, get, scan, flush, compact, transactions and recovery on one root folder. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, root: str, file_bytes: int = 128 << 20, buffer_rows: int = 100_000, bloom: bool = True):
+    def __init__(self, spark: SparkSession, root: str, file_bytes: int = 128 << 20, buffer_rows: int = 100_000, bloom: bool = True, segment_bytes: int = SEGMENT_BYTES, snapshot_every: int = SNAPSHOT_EVERY):
         self.spark, self.root, self.file_bytes, self.buffer_rows, self.bloom = spark, root.rstrip("/"), file_bytes, buffer_rows, bloom
+        self.segment_bytes, self.snapshot_every = segment_bytes, snapshot_every
         self.files = Files(spark, self.root)
         self.pointers: dict[int, str] = {}
         self._open()
@@ -46,9 +54,9 @@ class VersionedStore:
         rows = self._manifest_rows()
         self.version = max((r["version"] for r in rows), default=0)
         self.live: dict[int, dict] = {}
-        self.next_sst = 1 + max((r["sst_id"] for r in rows if r["sst_id"] is not None), default=-1)
+        self.next_sst = max((r["next_sst"] for r in rows), default=0)
         self.checkpoint = max((r["checkpoint"] for r in rows), default=0)
-        self.batches = {}
+        self.batches: dict[str, int] = {}
         for r in sorted(rows, key=lambda r: (r["version"], r["action"] == "REMOVE")):
             if r["source"]:
                 self.batches[r["source"]] = max(r["batch"], self.batches.get(r["source"], -1))
@@ -58,28 +66,52 @@ class VersionedStore:
                 self.live.pop(r["sst_id"], None)
         self.flushed = max((r["segment"] for r in rows), default=-1)
         self.buffer: list[tuple[str, str, int, int]] = []
-        segments = self.files.names(f"{self.root}/wal")
-        self.next_segment = 1 + max((int(s.partition("=")[2]) for s in segments if s.startswith("segment=")), default=-1)
-        if self.next_segment:
-            # Whole segments are flushed at a time, so what is left to replay is told by segment. A time would not
-            # do: a transaction may commit at a tid older than others that were flushed before it.
-            fresh = self._wal().where(F.col("segment") > self.flushed)
-            replayed = recovery.replay(fresh, -1).orderBy("seq").collect()  # at most a buffer
+        self.log_file: Appender | None = None
+        segments = self._segments()
+        self.segment = 1 + max(self.flushed, *segments, -1)
+        # Whole segments are flushed at a time, so what is left to replay is told by segment. A time would not
+        # do: a transaction may commit at a tid older than others that were flushed before it.
+        fresh = [f"{self.root}/wal/wal.{n}" for n in segments if n > self.flushed]
+        if fresh:
+            replayed = recovery.replay(binary.read_wal(self.spark, fresh), -1).orderBy("seq").collect()  # at most a buffer
             self.buffer = [(r.key, r.value, r.tid, i) for i, r in enumerate(replayed)]
-        self.synced = len(self.buffer)
+        if not rows:
+            self._backfill()
         self.tid = max([self.checkpoint, *(m["max_tid"] for m in self.live.values()), *(r[2] for r in self.buffer)]) + 1
 
     def _manifest_rows(self) -> list[dict]:
-        if not self.files.exists(f"{self.root}/manifest"):
-            return []
-        return [r.asDict() for r in self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest").collect()]
+        """The events of the newest snapshot and of what came after it."""
+        names = [n.partition("=") for n in self.files.names(f"{self.root}/manifest") if n.startswith(("version=", "snapshot="))]
+        base = max((int(n) for kind, _, n in names if kind == "snapshot"), default=0)
+        wanted = [f"{self.root}/manifest/{kind}={n}" for kind, _, n in names if (kind == "version" and int(n) > base) or (kind == "snapshot" and int(n) == base)]
+        return [r.asDict() for r in self.spark.read.schema(MANIFEST).parquet(*wanted).collect()] if wanted else []
+
+    def _segments(self) -> list[int]:
+        return [int(n[4:]) for n in self.files.names(f"{self.root}/wal") if n.startswith("wal.")]
 
-    def _wal(self) -> DataFrame:
-        return self.spark.read.schema(WAL + ", segment long").parquet(f"{self.root}/wal")
+    def _backfill(self) -> None:
+        """Without a manifest, take up the runs of every finished attempt, and write a manifest of them.
+
+        Attempts that were finished but never committed, or replaced by a compaction, can't be told apart then.
+        """
+        found = {}
+        for attempt in self.files.names(f"{self.root}/data"):
+            for level in self.files.names(f"{self.root}/data/{attempt}"):
+                own = f"{attempt}/{level}"
+                if level.startswith("level=") and self.files.exists(f"{self.root}/data/{own}/_SUCCESS"):
+                    for run in self.files.names(f"{self.root}/data/{own}"):
+                        if run.startswith("sst_id="):
+                            found[f"{own}/{run}"] = (int(level[6:]), len(found))
+        if found:
+            paths = {sst: (path, level) for path, (level, sst) in found.items()}
+            stats = self._stats(list(found), {path: sst for path, (_, sst) in found.items()}, None)
+            added = [{**r, "level": paths[r["sst_id"]][1], "path": paths[r["sst_id"]][0]} for r in stats]
+            self.next_sst = len(found)
+            self._record(added, (), max(r["max_tid"] for r in added), None, None)
 
     def manifest(self) -> DataFrame:
         """The live runs as a catalogue DataFrame."""
-        return self.spark.createDataFrame([[m[k] for k in META] for m in self.live.values()], "sst_id long, level int, min_tid long, max_tid long, first_key string, last_key string, n_rows long, n_bytes long")
+        return self.spark.createDataFrame([[m[k] for k in META] for m in self.live.values()], "sst_id long, level int, min_tid long, max_tid long, first_key string, last_key string, n_rows long, n_bytes long, path string")
 
     def allocate(self) -> int:
         """The next logical time; every call of the façade takes one."""
@@ -92,7 +124,7 @@ class VersionedStore:
         return self.spark.createDataFrame(self.buffer, LOG)
 
     def _run(self, ids: Iterable[int]) -> DataFrame | None:
-        paths = [f"{self.root}/data/sst_id={i}" for i in sorted(ids)]
+        paths = [f"{self.root}/data/{self.live[i]['path']}" for i in sorted(ids)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else None
 
     def log(self, low: str | None = None, high: bytes | None = None) -> DataFrame:
@@ -118,14 +150,30 @@ class VersionedStore:
         return self.put_batch([(k, "") for k in keys])
 
     def write(self, pairs: Sequence[tuple[str, str]], tid: int) -> int:
+        """Log and gather the pairs: once this returns, they survive a crash of the driver."""
         if any(k is None or v is None for k, v in pairs):
             raise ValueError("keys and values are never null")
+        if pairs:
+            self._append([(k.encode(), v.encode(), tid) for k, v in pairs])
         at = self.buffer[-1][3] + 1 if self.buffer else 0
         self.buffer += [(k, v, tid, at + i) for i, (k, v) in enumerate(pairs)]
         if len(self.buffer) >= self.buffer_rows:
             self.flush()
         return tid
 
+    def _append(self, entries: list[tuple[bytes, bytes, int]]) -> None:
+        if self.log_file is not None and self.log_file.size >= self.segment_bytes:
+            self._roll()
+        if self.log_file is None:
+            self.log_file = self.files.appender(f"{self.root}/wal/wal.{self.segment}")
+        self.log_file.write(binary.encode_wal(entries, self.log_file.size))
+
+    def _roll(self) -> None:
+        """End the current segment, if it has begun."""
+        if self.log_file is not None:
+            self.log_file.close()
+            self.log_file, self.segment = None, self.segment + 1
+
     def write_frame(self, df: DataFrame, source: str | None = None, batch: int | None = None) -> int | None:
         """A DataFrame (key, value[, seq]) under one tid, straight to level 0; returns the tid.
 
@@ -141,58 +189,111 @@ class VersionedStore:
         return tid
 
     def sync(self) -> None:
-        """Make gathered writes durable: they become a segment of the write-ahead log."""
-        fresh = self.buffer[self.synced :]
-        if fresh:
-            self.spark.createDataFrame([(k, v, t, i) for k, v, t, i in fresh], WAL).coalesce(1).write.parquet(f"{self.root}/wal/segment={self.next_segment}")
-            self.next_segment += 1
-            self.synced = len(self.buffer)
+        """Force the log to disk: logged writes then survive a loss of power too."""
+        if self.log_file is not None:
+            self.log_file.sync()
 
     def flush(self) -> None:
         """Write what is gathered as one run of level 0."""
         if self.buffer:
-            self.sync()
+            self._roll()
             rows, top = self._pending(), max(r[2] for r in self.buffer)
-            self.flushed = self.next_segment - 1
-            self._commit(rows, 0, (), top)
-            self.buffer, self.synced = [], 0
+            size = sum(len(k.encode()) + len(v.encode()) + ENTRY_OVERHEAD for k, v, _, _ in self.buffer)
+            before, self.flushed = self.flushed, self.segment - 1
+            try:
+                self._commit(rows, 0, (), top, n_bytes=size)
+            except BaseException:
+                self.flushed = before
+                raise
+            self.buffer = []
             self._clean_wal()
 
     flush_all = flush
 
     def _clean_wal(self) -> None:
-        """Drop segments at or below the checkpoint: after a flush, all of them."""
-        for name in self.files.names(f"{self.root}/wal"):
-            self.files.delete(f"{self.root}/wal/{name}")
-
-    def _commit(self, rows: DataFrame, level: int, removed: Iterable[int], checkpoint: int, source: str | None = None, batch: int | None = None, n: int | None = None) -> None:
-        first = self.next_sst
-        path = f"{self.root}/data"
-        n = n or compaction.file_count(rows, self.file_bytes)
-        own = compaction.in_files(rows, n).withColumn("sst_id", F.spark_partition_id().cast("long") + first)
-        writer = own.write.mode("append").partitionBy("sst_id")
-        if self.bloom:  # the writer makes a Bloom filter only where the column has no dictionary
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary", "false")
-        writer.parquet(path)
-        made = [i for i in range(first, first + n) if self.files.exists(f"{path}/sst_id={i}")]
-        stats = []
-        if made:
-            found = self.spark.read.schema("key string, value string, tid long, seq long, sst_id long").option("basePath", path).parquet(*[f"{path}/sst_id={i}" for i in made])
-            stats = found.groupBy("sst_id").agg(F.lit(level).alias("level"), F.min("tid").alias("min_tid"), F.max("tid").alias("max_tid"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n_rows"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("n_bytes")).collect()
-        self.version += 1
-        self.checkpoint = max(self.checkpoint, checkpoint)
-        tail = (self.checkpoint, source, batch, self.flushed)
-        events = [(self.version, "ADD", *[r[k] for k in META], *tail) for r in stats]
-        events += [(self.version, "REMOVE", i, *[None] * 7, *tail) for i in removed]
-        events = events or [(self.version, "NONE", None, *[None] * 7, *tail)]
-        self.spark.createDataFrame(events, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/manifest/version={self.version}")
-        self.next_sst = first + n
+        """Drop the segments that are in runs, but for the newest: its number tells where to go on."""
+        segments = sorted(self._segments())
+        for n in segments[:-1]:
+            if n <= self.flushed:
+                self.files.delete(f"{self.root}/wal/wal.{n}")
+
+    # ---- commits
+
+    @contextmanager
+    def _settings(self, **values) -> Iterator[None]:
+        names = {f"spark.sql.{k.replace('__', '.')}": str(v) for k, v in values.items()}
+        before = {k: self.spark.conf.get(k, None) for k in names}
+        try:
+            for k, v in names.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def _commit(self, rows: DataFrame, level: int, removed: Iterable[int], checkpoint: int, source: str | None = None, batch: int | None = None, n_bytes: int | None = None) -> None:
+        """Write rows as runs of a level, evaluated once, then record them.
+
+        With n_bytes (an upper bound) the number of runs is known. Else Spark's adaptive execution joins the sorted
+        partitions, of which there are as many as the session shuffles to, into runs of about file_bytes as they turn out.
+        """
+        first, attempt = self.next_sst, f"{uuid.uuid4().hex}/level={level}"
+        path = f"{self.root}/data/{attempt}"
+        sized = rows.withColumn("size", entry_bytes(F.col("key"), F.col("value")))
+        with self._settings(adaptive__enabled="true", adaptive__coalescePartitions__parallelismFirst="false", adaptive__advisoryPartitionSizeInBytes=self.file_bytes):
+            own = compaction.in_files(sized, None if n_bytes is None else max(1, -(-n_bytes // self.file_bytes)))
+            writer = own.withColumn("sst_id", F.spark_partition_id().cast("long") + first).write.partitionBy("sst_id")
+            if self.bloom:  # the writer makes a Bloom filter only where the column has no dictionary
+                writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false")
+            writer.parquet(path)
+        made = [int(n[7:]) for n in self.files.names(path) if n.startswith("sst_id=")]
+        stats = self._stats([f"{attempt}/sst_id={i}" for i in made], None, path) if made else []
+        added = [{**r, "level": level, "path": f"{attempt}/sst_id={r['sst_id']}"} for r in stats]
+        self.next_sst = 1 + max(made, default=first - 1)
+        self._record(added, removed, checkpoint, source, batch)
+
+    def _stats(self, paths: list[str], numbers: dict[str, int] | None, base: str | None) -> list[dict]:
+        """The catalogue columns of runs just written, from their narrow columns: values are not read."""
+        found = self.spark.read.schema(RUN + (", sst_id long" if base else ""))
+        found = found.option("basePath", base) if base else found
+        found = found.parquet(*[f"{self.root}/data/{p}" for p in paths])
+        if numbers is not None:
+            # The run's place among the attempts: the last three folders of its path.
+            where = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/level=[0-9]+/sst_id=[0-9]+)/[^/]+$", 1)
+            names = self.spark.createDataFrame(list(numbers.items()), "place string, sst_id long")
+            found = found.select("key", "tid", "size", where.alias("place")).join(names, "place")
+        stats = found.groupBy("sst_id").agg(F.min("tid").alias("min_tid"), F.max("tid").alias("max_tid"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
+        return [r.asDict() for r in stats.collect()]
+
+    def _record(self, added: list[dict], removed: Iterable[int], checkpoint: int, source: str | None, batch: int | None) -> None:
+        """One manifest version: runs that come and go become so at once."""
+        version, top = self.version + 1, max(self.checkpoint, checkpoint)
+        tail = (top, source, batch, self.flushed, self.next_sst)
+        events = [(version, "ADD", *[r[k] for k in META], *tail) for r in added]
+        events += [(version, "REMOVE", i, *[None] * 8, *tail) for i in removed]
+        self._publish(events or [(version, "NONE", *[None] * 9, *tail)], f"version={version}")
+        self.version, self.checkpoint = version, top
         if source is not None:
             self.batches[source] = batch
         for i in removed:
             self.live.pop(i, None)
-        for r in stats:
+        for r in added:
             self.live[r["sst_id"]] = {k: r[k] for k in META}
+        if version % self.snapshot_every == 0:
+            self.snapshot()
+
+    def _publish(self, events: list[tuple], name: str) -> None:
+        made = f"{self.root}/manifest/_{uuid.uuid4().hex}"
+        self.spark.createDataFrame(events, MANIFEST).coalesce(1).write.parquet(made)
+        self.files.publish(made, f"{self.root}/manifest/{name}")
+
+    def snapshot(self) -> None:
+        """Write the live runs as one snapshot, so that opening needs no older event."""
+        if not self.files.exists(f"{self.root}/manifest/snapshot={self.version}"):
+            tail = (self.flushed, self.next_sst)
+            events = [(self.version, "ADD", *[m[k] for k in META], self.checkpoint, None, None, *tail) for m in self.live.values()]
+            events += [(self.version, "NONE", *[None] * 9, self.checkpoint, s, b, *tail) for s, b in [(None, None), *self.batches.items()]]
+            self._publish(events, f"snapshot={self.version}")
 
     # ---- reads
 
@@ -248,7 +349,8 @@ class VersionedStore:
         below = [m for m in self.live.values() if m["level"] == level + 1 and m["first_key"].encode() <= high and m["last_key"].encode() >= low]
         ids = [m["sst_id"] for m in own + below]
         deeper = self.manifest().where(F.col("level") > level + 1)
-        self._commit(compaction.compact(self._run(ids), deeper), level + 1, ids, self.checkpoint)
+        size = sum(m["n_bytes"] for m in own + below)
+        self._commit(compaction.compact(self._run(ids), deeper), level + 1, ids, self.checkpoint, n_bytes=size)
         return True
 
     def maintain(self) -> int:
@@ -265,15 +367,36 @@ class VersionedStore:
         return ran
 
     def vacuum(self) -> int:
-        """Delete runs that no manifest version needs any more; returns how many."""
-        gone = [n for n in self.files.names(f"{self.root}/data") if n.startswith("sst_id=") and int(n[7:]) not in self.live]
-        for n in gone:
-            self.files.delete(f"{self.root}/data/{n}")
-        return len(gone)
+        """Delete what no reader of the current version needs: runs that are not live (returned: how many), what
+        failed attempts left, and manifest events before the newest snapshot."""
+        used = {m["path"] for m in self.live.values()}
+        gone = 0
+        for attempt in self.files.names(f"{self.root}/data"):
+            kept = False
+            for level in self.files.names(f"{self.root}/data/{attempt}"):
+                for run in self.files.names(f"{self.root}/data/{attempt}/{level}"):
+                    if run.startswith("sst_id="):
+                        if f"{attempt}/{level}/{run}" in used:
+                            kept = True
+                        else:
+                            self.files.delete(f"{self.root}/data/{attempt}/{level}/{run}")
+                            gone += 1
+            if not kept:
+                self.files.delete(f"{self.root}/data/{attempt}")
+        names = self.files.names(f"{self.root}/manifest")
+        base = max((int(n[9:]) for n in names if n.startswith("snapshot=")), default=0)
+        for n in names:
+            kind, _, at = n.partition("=")
+            if n.startswith("_") or kind == "version" and int(at) <= base or kind == "snapshot" and int(at) < base:
+                self.files.delete(f"{self.root}/manifest/{n}")
+        return gone
 
     def clear(self) -> None:
-        """Drop all rows and files and start over."""
-        for part in ("manifest", "wal", "data"):
+        """Drop all rows and files and start over. One manifest version makes the store empty; then its files go."""
+        self._roll()
+        self.flushed = self.segment - 1
+        self._record([], list(self.live), self.checkpoint, None, None)
+        for part in ("wal", "data", "manifest"):
             self.files.delete(f"{self.root}/{part}")
         self.pointers = {}
         self._open()

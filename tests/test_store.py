@@ -69,10 +69,12 @@ def test_deletions_survive_compactions(store):
     store.remove_batch([f"del_key_{i:05d}" for i in range(0, 300, 2)])
     store.flush()
     store.put_batch([(f"new_key_{i:05d}", "n") for i in range(100)])
-    assert store.compact(0) and store.compact(1) and not store.compact(0)
+    assert store.compact(0) and not store.compact(0)
+    while store.level_ranges(1):  # as many runs as the sizes of what was merged allow
+        assert store.compact(1)
     found = dict(pairs(store.scan()))
     assert found == {f"del_key_{i:05d}": f"v{i}" for i in range(1, 300, 2)} | {f"new_key_{i:05d}": "n" for i in range(100)}
-    assert {m["level"] for m in store.get_manifest_info()} == {2}  # the only run of level 1 went down
+    assert {m["level"] for m in store.get_manifest_info()} == {2}
     assert store.vacuum() > 0 and len(pairs(store.scan())) == 250
 
 
@@ -132,20 +134,169 @@ def test_reopening_twice_and_replay(spark, store):
     early.commit()  # its time is older than what is flushed already
     store.put("synced", "4")
     store.sync()
-    store.put("lost", "5")
+    store.put("logged", "5")  # the log has it once put returns
     for _ in range(2):
         again = VersionedStore(spark, store.root)
-        assert dict(pairs(again.scan())) == {"flushed": "1", "later": "2", "early": "3", "synced": "4"}
+        assert dict(pairs(again.scan())) == {"flushed": "1", "later": "2", "early": "3", "synced": "4", "logged": "5"}
         assert again.tid > max(r.tid for r in again.log().collect())
     again.flush()
-    assert dict(pairs(VersionedStore(spark, store.root).scan())) == {"flushed": "1", "later": "2", "early": "3", "synced": "4"}
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == {"flushed": "1", "later": "2", "early": "3", "synced": "4", "logged": "5"}
 
 
-def test_a_half_written_commit_is_not_seen(spark, store):
+def test_writes_after_a_reopening_survive(spark, store):
+    """The log was cleaned by then; its numbers must not begin again below what is flushed."""
+    expected = {}
+    for i in range(4):
+        store.put(f"a{i}", "1")
+        if i % 2 == 0:
+            store.flush()
+        expected[f"a{i}"] = "1"
+        store = VersionedStore(spark, store.root)
+        assert dict(pairs(store.scan())) == expected and store.get(f"a{i}") == "1"
+
+
+class Crash(RuntimeError):
+    pass
+
+
+STEPS = ["roll", "data", "stats", "manifest", "recorded", "clean"]
+
+
+def crash_at(monkeypatch, step):
+    """Let a store fail at a step of flush or commit, before or after what the step does."""
+    from palimpsest.sources.files import Files
+
+    def fail(*_, **__):
+        raise Crash(step)
+
+    real = VersionedStore._record
+    if step == "roll":
+        monkeypatch.setattr(VersionedStore, "_commit", fail)
+    elif step == "data":
+        monkeypatch.setattr(Files, "names", lambda self, path: fail() if "/data/" in path else [])
+    elif step == "stats":
+        monkeypatch.setattr(VersionedStore, "_stats", fail)
+    elif step == "manifest":
+        monkeypatch.setattr(Files, "publish", fail)
+    elif step == "recorded":
+        monkeypatch.setattr(VersionedStore, "_record", lambda *a: (real(*a), fail()))
+    elif step == "clean":
+        monkeypatch.setattr(Files, "delete", fail)
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_crash_at_any_step_of_a_flush_loses_and_invents_nothing(spark, store, step):
+    store.put("a", "1")
+    store.flush()
+    store.put("b", "2")
+    store.remove("a")
+    store.sync()
+    with pytest.MonkeyPatch.context() as patch:
+        crash_at(patch, step)
+        try:
+            store.flush()
+        except Crash:
+            pass
+    for _ in range(2):
+        again = VersionedStore(spark, store.root)
+        assert dict(pairs(again.scan())) == {"b": "2"} and again.get("b") == "2" and again.get("a") is None
+    again.put("c", "3")
+    again.flush()
+    again.vacuum()
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == {"b": "2", "c": "3"}
+
+
+@pytest.mark.parametrize("step", STEPS[:-1])
+def test_a_commit_that_failed_stays_unseen(spark, store, step):
+    def ghost(key):
+        return spark.createDataFrame([(key, "x")], "key string, value string")
+
     store.put("a", "1")
     store.flush()
-    spark.createDataFrame([("b", "2", 9, 0)], "key string, value string, tid long, seq long").write.parquet(f"{store.root}/data/sst_id=77")
-    assert pairs(VersionedStore(spark, store.root).scan()) == [("a", "1")]
+    with pytest.MonkeyPatch.context() as patch:
+        crash_at(patch, step)
+        with pytest.raises(Crash):
+            store.write_frame(ghost("ghost"), "feed", 1)
+    seen = {"a": "1"} | ({"ghost": "x"} if step == "recorded" else {})
+    for _ in range(2):
+        again = VersionedStore(spark, store.root)
+        assert dict(pairs(again.scan())) == seen
+    again.write_frame(ghost("b"), "feed", 2)
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == seen | {"b": "x"}
+    again.compact(0)
+    again.vacuum()
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == seen | {"b": "x"}
+
+
+def test_segments_roll_and_the_newest_stays(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "rolling"), segment_bytes=300)
+    for i in range(12):
+        store.put(f"k{i}", "v" * 50)
+    before = store._segments()
+    assert len(before) > 2
+    assert len(pairs(VersionedStore(spark, store.root).scan())) == 12
+    store.flush()
+    assert store._segments() == before[-1:]
+    assert len(pairs(VersionedStore(spark, store.root).scan())) == 12
+
+
+def test_a_torn_log_record_ends_its_segment_only(spark, store):
+    store.put("a", "1")
+    store.put("b", "2")
+    store._roll()
+    path = f"{store.root}/wal/wal.0"
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-3])
+    again = VersionedStore(spark, store.root)
+    again.put("c", "3")
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == {"a": "1", "c": "3"}
+
+
+def test_opening_without_a_manifest_takes_up_the_runs(spark, store):
+    store.put_batch([(f"k{i:03d}", "old") for i in range(50)])
+    store.compact(0)
+    store.put_batch([(f"k{i:03d}", "new") for i in range(10)])
+    store.flush()
+    store.put("logged", "1")
+    store.vacuum()
+    expected = dict(pairs(store.scan()))
+    levels = sorted(m["level"] for m in store.get_manifest_info())
+    spark.createDataFrame([("ghost", "x", 999, 0, 1)], "key string, value string, tid long, seq long, size long").write.parquet(f"{store.root}/data/torn/level=0/sst_id=0")  # no mark of success
+    store.files.delete(f"{store.root}/manifest")
+    for _ in range(2):
+        again = VersionedStore(spark, store.root)
+        assert dict(pairs(again.scan())) == expected and sorted(m["level"] for m in again.get_manifest_info()) == levels
+    again.put("more", "2")
+    again.flush()
+    assert dict(pairs(VersionedStore(spark, store.root).scan())) == expected | {"more": "2"}
+
+
+def test_snapshots_bound_what_opening_reads(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "many"), snapshot_every=3)
+    df = spark.createDataFrame([("k", "v")], "key string, value string")
+    for i in range(7):
+        store.write_frame(df.withColumn("value", F.lit(str(i))), "feed", i)
+    store.compact(0)
+    store.vacuum()
+    names = store.files.names(f"{store.root}/manifest")
+    assert names == ["snapshot=6", "version=7", "version=8"]
+    again = VersionedStore(spark, store.root)
+    assert again.get("k") == "6" and again.batches == {"feed": 6} and again.next_sst == store.next_sst
+    assert again.write_frame(df, "feed", 6) is None
+
+
+def test_keys_have_bloom_filters(spark, tmp_path):
+    import glob
+    import os
+
+    sizes = {}
+    for bloom in (True, False):
+        store = VersionedStore(spark, str(tmp_path / str(bloom)), bloom=bloom)
+        store.put_batch([(f"k{i * 7919 % 5000}", "v") for i in range(2000)])
+        store.flush()
+        [path] = glob.glob(f"{store.root}/data/*/level=0/sst_id=0/*.parquet")
+        sizes[bloom] = os.path.getsize(path)
+    assert sizes[True] > sizes[False] + 2000
 
 
 def test_snapshots_survive_flushes(store):
