@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.bytebpe import pretokens
 from palimpsest.llm.common import slices, stored, texts
+from palimpsest.llm.libraryclasses import alike, classes, code_points, install, packed
 
 CAPACITY = 1024
 #: The plan is broadcast up to this many rows (40 bytes each); beyond, it is joined by shuffle. Its size follows
 #: from the capacity alone: some 7,000 rows for 10**10 documents of all lengths up to 1024.
 BROADCAST_ROWS = 100_000
-#: Texts beyond this many characters are pre-tokenised chunk by chunk.
-LONG_TEXT = 1 << 18
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -61,24 +60,28 @@ class Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.special = special
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.pattern, self.alike = regex.compile(BYTE_LEVEL), alike("tokenizers")
+        self.unlike = classes("tokenizers") != classes("tiktoken")
         self.encoding = tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        if len(text) <= LONG_TEXT:
+        if text.isascii() or not self.unlike[code_points(text)].any():
             return self.encoding.encode_to_numpy(text, allowed_special="all")
+        # The engine that cuts fast sees some of these characters otherwise than the library does.
         out: list[int] = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for p in pretokens(self.pattern, part):
+                for p in pretokens(self.pattern, part, self.alike(part)):
                     out += self.encoding._core_bpe.encode_single_piece(p.encode())
         return np.array(out, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, tables: bytes) -> Encoder:
+    """One encoder per worker process and file; tables: what the driver `packed`."""
+    install(tables)
     return Encoder(path)
 
 
@@ -94,8 +97,10 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_c
     schema = pa.schema(fields)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long" + ", ids array<int>" * keep_ids
 
+    tables = packed("tiktoken", "tokenizers", "regex")
+
     def run(batches):
-        enc, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, part, seen = encoder(path, tables), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in slices(batches):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

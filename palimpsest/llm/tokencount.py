@@ -27,7 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from palimpsest.llm import libraryclasses
 from palimpsest.llm.common import emit, slices, texts
+from palimpsest.llm.libraryclasses import classes, code_points, unlike_python
 from palimpsest.llm.packing import byte_alphabet
 
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -36,6 +38,8 @@ BETWEEN, LETTERS, RUN, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L = range(7)
 N_STATES, N_CLASSES = 7, 10
 HERE, BEFORE = 1, 2
 CHUNK = 512
+#: Characters that are normalised at a time.
+PIECE = 1 << 18
 #: Compiled transitions kept by a worker (16 bytes each in the table); the counter starts over when full.
 MOST = 1_500_000
 
@@ -66,21 +70,44 @@ def pretoken_tables() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, as the library's own pattern engine has it."""
     out = np.full(0x110000, OTHER, np.uint8)
-    for i in range(0x110000):
-        k = unicodedata.category(chr(i))[0]
-        if k == "L":
-            out[i] = LETTER
-        elif k == "N":
-            out[i] = NUMBER
-    out[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    own = classes("tokenizers")
+    for k, mine in ((libraryclasses.LETTER, LETTER), (libraryclasses.NUMBER, NUMBER), (libraryclasses.SPACE, SPACE)):
+        out[own == k] = mine
     out[[ord(c) for c in "stmd"]] = STMD
     for c, k in zip("'rvle", (QUOTE, R, V, L, E)):
         out[ord(c)] = k
     return out
 
 
+def normal(text: str) -> str:
+    """The text in NFC and lower case, as the library makes it; white space is left as it is.
+
+    Python does both where it treats every character of a piece as the library does, the library elsewhere. Pieces
+    begin at a line feed or space, which no composition reaches across.
+    """
+    out, at = [], 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= 2 * PIECE else max(text.rfind("\n", at + 1, at + PIECE), text.rfind(" ", at + 1, at + PIECE))
+        piece = text[at : end if end > 0 else len(text)]
+        at += len(piece)
+        if not piece.isascii() and unlike_python()[code_points(piece)].any():
+            out.append(_library_normal().normalize_str(piece))
+        else:
+            if not unicodedata.is_normalized("NFC", piece):
+                piece = unicodedata.normalize("NFC", piece)
+            out.append(piece.replace("Σ", "σ").lower())  # final sigma has no lower case of its own here
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def _library_normal():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def compose(maps: np.ndarray) -> np.ndarray:
     """Inclusive prefix scan of state maps (chunks, states): row i becomes the map over chunks 0 to i."""
     maps, step = maps.copy(), 1
@@ -322,11 +349,7 @@ class Counter:
                 if len(parts) > 1:
                     extra[i] = len(parts) - 1
                     t = " ".join(parts)
-            if not t.isascii():
-                if not unicodedata.is_normalized("NFC", t):
-                    t = unicodedata.normalize("NFC", t)
-                t = t.replace("Σ", "σ")  # final sigma has no lower case of its own here
-            plain.append(t.lower())
+            plain.append(t.lower() if t.isascii() else normal(t))
         whole = " ".join(plain) + " "
         if whole.isascii():
             symbols = np.frombuffer(whole.encode(), np.uint8)
@@ -364,7 +387,10 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
+    tables = libraryclasses.packed("tokenizers", "unlike_python")
+
     def run(batches):
+        libraryclasses.install(tables)
         c = counter(path)
         for b in slices(batches, most_bytes=2 << 20):
             own = [t or b"" for t in b.column(1).to_pylist()]
