@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import langid, packing, quality, simhash
-from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.common import delete, scratch, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written as Parquet and reread as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each result is written as Parquet and reread as the next one's docs.
+
+    What a stage leaves in shared folders goes once its result is written, and so does the result once the next is.
+    """
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        delete(spark, *held)
+        docs, held = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

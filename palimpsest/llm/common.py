@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -35,25 +36,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made inside each open `scratch`, innermost last.
+_MADE: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor see, under spark.checkpoint.dir.
 
-    Only where that setting is absent (tests in local mode) it falls back to a temporary folder.
+    Where that setting is absent, local mode gets a temporary folder; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What operators write to shared folders in here is deleted at the end: results must have been written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_MADE.pop())
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df once to the shared folder and return the rereading frame: lineage ends there.
 
-    Lost executors then cost a reread of Parquet rather than a recomputation.
+    Lost executors then cost a reread of Parquet rather than a recomputation. The folder stays for as long as the frame
+    may be read: until the `scratch` around it ends, else for the folder's owner to clear.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 A capture is three records: the request, the response (or a revisit of an equal payload) and metadata. Request
 and metadata name the capture's response or revisit as concurrent. Archives are written by Spark's own writer,
-hence to any store, as gzip files of a bounded number of captures.
+hence to any store, as gzip files of a bounded size, one member each.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import pick
+from palimpsest.llm.common import pick, stored
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
-CAPTURES_PER_FILE = 2000
+#: Uncompressed payload bytes that a file holds at most, but for one capture that is larger by itself.
+FILE_BYTES = 512 << 20
+#: Largest payloads of the size classes.
+CLASSES = (256 << 10, 4 << 20, 64 << 20)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_id string, record_type string, concurrent_to string, target_uri string, payload_digest string, refers_to string, payload_bytes long, computed_digest string, block string"
 
@@ -35,20 +38,24 @@ def base32_sha1(data):
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Each page with the capture that its payload revisits, if any.
 
-    (page_id, capture, url, payload, payload_digest, refers_to capture or null). Of pages with equal payloads
+    (page_id, capture, url, payload, n_bytes, payload_digest, refers_to capture or null). Of pages with equal payloads
     of at least `least_bytes` bytes the one with the smallest id is the response; null ids come last, and
-    of repeated ids any one row is it. A null payload is an empty one.
+    of repeated ids any one row is it. A null payload is an empty one. An empty table gives no rows.
+
+    Pages are written once with their digests and numbers, so that a capture keeps its name whatever is recomputed.
+    Pages of equal payload meet by digest without their payloads, which join by capture, a key without skew.
     """
     own = pick(pages, page_id=id_col, url=url_col, payload=html_col)
     own = own.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", F.coalesce("payload", F.lit("")).alias("payload"))
-    own = own.withColumn("payload_digest", base32_sha1(F.encode("payload", "UTF-8")))
-    own = own.withColumn("capture", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("row").cast("string")))
+    capture = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("row").cast("string"))
+    own = own.select("page_id", "row", "url", "payload", capture.alias("capture"), F.octet_length("payload").alias("n_bytes"), base32_sha1(F.encode("payload", "UTF-8")).alias("payload_digest"))
+    own = stored(own, "warc-pages", compression="zstd")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("row"))
-    first = own.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.min_by("capture", order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    return own.join(first, "payload_digest", "left").select(
-        "page_id", "capture", "url", "payload", "payload_digest",
-        F.when((F.col("first") != F.col("capture")) & (F.octet_length("payload") >= least_bytes), F.col("first")).alias("refers_to"),
-    )
+    rest = own.where(F.col("n_bytes") >= least_bytes)
+    # Written first: Spark splits a popular payload in a join of two shuffles, but not above an aggregate.
+    first = stored(rest.groupBy("payload_digest").agg(F.min_by("capture", order).alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "refers_to"), "warc-first")
+    again = rest.select("capture", "n_bytes", "payload_digest").join(first, "payload_digest").where("refers_to <> capture")
+    return own.join(again.select("capture", "n_bytes", "refers_to"), ["capture", "n_bytes"], "left").select("page_id", "capture", "url", "payload", "n_bytes", "payload_digest", "refers_to")
 
 
 def _record(kind, record_id, uri, headers: list, content_type, block):
@@ -58,19 +65,28 @@ def _record(kind, record_id, uri, headers: list, content_type, block):
 
 
 def write(found: DataFrame, path: str) -> None:
-    """Write `captures` rows as WARC files under path."""
+    """Write `captures` rows as WARC files under path.
+
+    Captures of one class of size share files, as many as FILE_BYTES hold if all are the class's largest; what is larger
+    than any class has files of its own. So no file comes near the 2 GB that a reader takes as a whole.
+    """
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x1F\x7F]", "%0A")
     concurrent = F.concat(F.lit("WARC-Concurrent-To: <urn:capture:"), F.col("capture"), F.lit(":capture>"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"))
     revisit = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END))
     request = _record(F.lit("request"), F.concat(F.col("capture"), F.lit(":request")), uri, [concurrent], F.lit("application/http;msgtype=request"), F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}")))
     refers = F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: <urn:capture:"), F.col("refers_to"), F.lit(":capture>")))
     response = _record(F.when(revisit, "revisit").otherwise("response"), F.concat(F.col("capture"), F.lit(":capture")), uri, [digest, refers], F.lit("application/http;msgtype=response"), F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))))
-    meta = _record(F.lit("metadata"), F.concat(F.col("capture"), F.lit(":metadata")), uri, [concurrent], F.lit("application/warc-fields"), F.concat(F.lit("payload-bytes: "), F.octet_length("payload").cast("string"), F.lit(CRLF)))
+    meta = _record(F.lit("metadata"), F.concat(F.col("capture"), F.lit(":metadata")), uri, [concurrent], F.lit("application/warc-fields"), F.concat(F.lit("payload-bytes: "), F.col("n_bytes").cast("string"), F.lit(CRLF)))
     # A record ends with two line ends: between records they are put here, after the last by the writer.
-    rows = found.select(F.concat_ws(END, request, response, meta).alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    rows = found.select(F.concat_ws(END, request, response, meta).alias("value"), F.when(revisit, 0).otherwise(F.col("n_bytes")).alias("n_bytes"))
+    size_class = F.size(F.filter(F.array(*map(F.lit, CLASSES)), lambda x: x < F.col("n_bytes")))
+    classes = sorted(r[0] for r in found.select(F.when(revisit, 0).otherwise(F.col("n_bytes")).alias("n_bytes")).select(size_class).distinct().collect())
+    for k in classes or [0]:
+        most = max(1, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        own = rows.where(size_class == k) if len(classes) > 1 else rows
+        own.select("value").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).mode("append").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

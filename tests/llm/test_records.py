@@ -135,3 +135,30 @@ def test_archives_of_others(spark, tmp_path):
     assert found["urn:uuid:77"].response is None and found["urn:uuid:77"].metadata.block == "m: 1\r\n"
     with pytest.raises(ValueError):
         list(warc.records(response[: len(response) // 2] + gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nab")))
+
+
+def test_large_payloads_bound_the_files_of_archives(spark, monkeypatch):
+    """A third of the rows share one payload; sizes lie in several classes."""
+    import glob
+
+    monkeypatch.setattr(warc, "CLASSES", (20, 200))
+    monkeypatch.setattr(warc, "FILE_BYTES", 60)
+    rows = [(i, "u", "popular" * 20 if i % 3 == 0 else f"{i}" * (1 + 40 * (i % 7))) for i in range(60)]
+    path = shared_dir(spark, "warc-sizes")
+    warc.write(warc.captures(pages_of(spark, rows)), path)
+    nested = warc.transactions(warc.read(spark, path)).collect()
+    found = {int(r.capture_id.split(":")[0]): r.response for r in nested}
+    assert {i: r.payload_bytes for i, r in found.items()} == {i: len(t) for i, _, t in rows}
+    assert all((r.record_type == "revisit") == (i % 3 == 0 and i > 0) and (r.refers_to or "0:").startswith("0:") for i, r in found.items())
+    for f in glob.glob(path + "/*.gz"):
+        own = [int(h["content-length"]) for h, _ in warc.records(open(f, "rb").read()) if h["warc-type"] in ("response", "revisit")]
+        assert len(own) <= 3
+
+
+def test_payloads_do_not_meet_by_digest(spark, sf_dir):
+    """The join by digest has narrow rows on both sides; payloads join by capture."""
+    plan = warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert len(joins) == 2 and "capture" in joins[0] and "payload_digest" in joins[1] and "Aggregate" not in plan
+    narrow = plan[plan.index(joins[1]) :]
+    assert "payload#" not in narrow.split("payload_digest", 1)[1].replace("payload_digest", "").split("Relation")[0]
