@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.checksums import exact_shard
 from palimpsest.functions.keys import entry_bytes, prefix_end
+from palimpsest.operators.compaction import boundaries, slot
 
 META = ["level", "min_tid", "max_tid", "first_key", "last_key"]
 BLOCK_BYTES = 4096
@@ -50,10 +52,23 @@ def overlapping(files: DataFrame, level: int, low: str, high: str) -> DataFrame:
 
 
 def overlapping_pairs(files: DataFrame, upper: int, lower: int) -> DataFrame:
-    """(upper_id, lower_id) of files of two levels whose key ranges overlap."""
-    a = files.where(F.col("level") == upper).select(F.col("sst_id").alias("upper_id"), F.col("first_key").alias("a"), F.col("last_key").alias("b"))
-    z = files.where(F.col("level") == lower).select(F.col("sst_id").alias("lower_id"), F.col("first_key").alias("c"), F.col("last_key").alias("d"))
-    return a.join(z, overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("upper_id", "lower_id")
+    """(upper_id, lower_id) of files of two levels whose key ranges overlap.
+
+    Both levels' ranges are filed under the slots that they reach into and meet there. Two ranges that overlap first do
+    so in the slot where the later one begins; only there the pair counts.
+    """
+    bounds = boundaries(files)
+    if not bounds:
+        return files.select(F.col("sst_id").alias("upper_id"), F.col("sst_id").alias("lower_id")).where(F.lit(False))
+
+    def filed(level: int, names: tuple[str, str, str, str]) -> DataFrame:
+        begin, end = slot(F.col("first_key"), bounds), slot(F.col("last_key"), bounds)
+        own = files.where(F.col("level") == level).select("sst_id", "first_key", "last_key", begin.alias("begin"), end.alias("end"))
+        return own.select(*(F.col(c).alias(n) for c, n in zip(("sst_id", "first_key", "last_key", "begin"), names)), F.explode(F.sequence("begin", "end")).alias("slot"))
+
+    a, z = filed(upper, ("upper_id", "a", "b", "x")), filed(lower, ("lower_id", "c", "d", "y"))
+    met = a.join(z, "slot").where(overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")) & (F.col("slot") == F.greatest("x", "y")))
+    return met.select("upper_id", "lower_id")
 
 
 def may_hold(ranges: DataFrame, key: str) -> DataFrame:
@@ -104,3 +119,8 @@ def block_index(log: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def size_stats(log: DataFrame) -> DataFrame:
     """(n_rows, n_keys, n_tombstones, n_bytes) of a log."""
     return log.agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"), F.count_if(F.col("value") == "").alias("n_tombstones"), F.coalesce(F.sum(entry_bytes(F.col("key"), F.col("value"))), F.lit(0)).alias("n_bytes"))
+
+
+def shard_counts(log: DataFrame) -> DataFrame:
+    """(shard, n_rows, n_bytes) of each in-memory shard that the log's keys fall into."""
+    return log.groupBy(exact_shard(F.col("key")).alias("shard")).agg(F.count("*").alias("n_rows"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("n_bytes"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.plans.visibility import winners
@@ -10,11 +12,21 @@ from palimpsest.plans.visibility import winners
 BUCKETS = 256
 
 
-def _boundaries(files: DataFrame, buckets: int = BUCKETS) -> list[str]:
-    """At most `buckets` first keys that split the files evenly."""
-    tile = F.ntile(buckets).over(Window.orderBy("first_key"))
-    cut = files.select("first_key").distinct().withColumn("tile", tile).groupBy("tile").agg(F.min("first_key").alias("k"))
-    return [r.k for r in cut.orderBy("k").collect()]
+def boundaries(files: DataFrame, column: str = "first_key", buckets: int = BUCKETS) -> list[str]:
+    """At most `buckets` keys that split the column's values about evenly: where a range partitioning's parts begin."""
+    keys = files.select(F.col(column).alias("k")).distinct()
+    parts = keys.repartitionByRange(buckets, "k").groupBy(F.spark_partition_id().alias("part")).agg(F.min("k").alias("k"))
+    return sorted((r.k for r in parts.select("k").collect()), key=str.encode)
+
+
+def slot(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are at or below the key, found in two steps of about sqrt(len(bounds)) comparisons."""
+    step = max(1, math.isqrt(len(bounds)))
+    upto = lambda b: b <= key
+    rough = F.size(F.filter(F.array(*map(F.lit, bounds[::step])), upto))
+    groups = F.array(*[F.array(*map(F.lit, bounds[i : i + step])) for i in range(0, len(bounds), step)])
+    fine = F.size(F.filter(F.get(groups, rough - 1), upto))
+    return F.when(rough == 0, 0).otherwise((rough - 1) * step + fine)
 
 
 def covered(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -23,13 +35,11 @@ def covered(keys: DataFrame, files: DataFrame) -> DataFrame:
     A range join by buckets: keys and ranges are dealt to the slots between at most BUCKETS boundaries, and
     only meet within a slot. A range over several slots is filed under each.
     """
-    bounds = _boundaries(files)
+    bounds = boundaries(files)
     if not bounds:
         return keys.where(F.lit(False))
-    listed = F.array(*map(F.lit, bounds))
-    slot = lambda c: F.size(F.filter(listed, lambda b: b <= c))
-    ranges = files.select("first_key", "last_key", F.explode(F.sequence(slot(F.col("first_key")), slot(F.col("last_key")))).alias("slot"))
-    own = keys.withColumn("slot", slot(F.col("key")))
+    ranges = files.select("first_key", "last_key", F.explode(F.sequence(slot(F.col("first_key"), bounds), slot(F.col("last_key"), bounds))).alias("slot"))
+    own = keys.withColumn("slot", slot(F.col("key"), bounds))
     hit = (own["slot"] == ranges["slot"]) & (ranges["first_key"] <= own["key"]) & (own["key"] <= ranges["last_key"])
     return own.join(ranges, hit, "left_semi").drop("slot")
 
@@ -44,13 +54,14 @@ def compact(log: DataFrame, deeper: DataFrame, retain_since: int | None = None)
     """What merging the log's files leaves: the newest version of each key, less collectable tombstones.
 
     deeper: catalogue rows of all levels below the output. By default older versions go, so snapshots before the
-    compaction are lost; with retain_since all versions visible to snapshots from that time on stay.
+    compaction are lost; with retain_since all versions visible to snapshots from that time on stay, and the tombstones
+    that go are those that were the newest version then.
     """
     if retain_since is None:
         return collect_tombstones(winners(log), deeper)
     # Snapshots from retain_since on can see the newest version of that time and all later ones.
-    kept = winners(log.where(F.col("tid") <= retain_since)).unionByName(log.where(F.col("tid") > retain_since).select("key", "value", "tid", "seq"))
-    return kept
+    base = collect_tombstones(winners(log.where(F.col("tid") <= retain_since)), deeper)
+    return base.unionByName(log.where(F.col("tid") > retain_since).select("key", "value", "tid", "seq"))
 
 
 def in_files(log: DataFrame, n: int | None) -> DataFrame:

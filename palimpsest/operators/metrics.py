@@ -9,31 +9,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = (0.5, 0.95, 0.99, 0.999, 0.9999)
+#: Parts that a group's values are cut into before they are sorted.
+BINS = 64
 
 
-def _ranked(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by..., v, lo, hi, n): each distinct value with the 0-based ranks [lo, hi) that it takes among n.
+def _at_ranks(df: DataFrame, by: Sequence[str], value: str, points: DataFrame, rank) -> DataFrame:
+    """(by..., point, value): for each group and row of points(point), the sample at the 0-based rank(point, n).
 
-    Equal values are counted before the shuffle, so the sort sees distinct values only.
+    Equal values are counted before anything is sorted. A group's distinct values are cut at approximate quantiles into
+    at most BINS bins; counts of bins tell in which one a rank lies, and only those bins are sorted, each by itself. So
+    a group of any size spreads over tasks.
     """
-    counted = df.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    group = Window.partitionBy(*by)
-    hi = F.sum("c").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counted.select(*by, "v", (hi - F.col("c")).alias("lo"), hi.alias("hi"), F.sum("c").over(group).alias("n"))
+    # One struct names a group, so that nulls in it meet like other values.
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cuts = counted.groupBy("g").agg(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 10 * BINS).alias("cuts"))
+    binned = counted.join(cuts, "g").select("g", "v", "c", F.size(F.filter("cuts", lambda b: b < F.col("v"))).alias("bin"))
+    group = Window.partitionBy("g")
+    hi = F.sum("c").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = binned.groupBy("g", "bin").agg(F.sum("c").alias("c"))
+    bins = bins.select("g", "bin", (hi - F.col("c")).alias("lo"), hi.alias("hi"), F.sum("c").over(group).alias("n"))
+    wanted = bins.join(F.broadcast(points)).withColumn("at", rank(F.col("point"), F.col("n"))).where((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
+    own = binned.join(wanted.select("g", "bin", "lo").distinct(), ["g", "bin"])
+    upto = F.sum("c").over(Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("lo")
+    ranked = own.select("g", "bin", "v", (upto - F.col("c")).alias("first"), upto.alias("end"))
+    found = ranked.join(wanted.select("g", "bin", "point", "at"), ["g", "bin"]).where((F.col("first") <= F.col("at")) & (F.col("at") < F.col("end")))
+    return found.select(*(F.col(f"g.{c}").alias(c) for c in by), "point", F.col("v").alias("value"))
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float] = PERCENTILES) -> DataFrame:
-    """(by..., p, value): the sample at the 0-based rank floor(p * (n - 1)) of each group."""
-    ranked = _ranked(df, by, value).withColumn("p", F.explode(F.array(*map(F.lit, points))))
-    at = F.floor(F.col("p") * (F.col("n") - 1))
-    return ranked.where((F.col("lo") <= at) & (at < F.col("hi"))).select(*by, "p", F.col("v").alias("value"))
+    """(by..., p, value): the sample at the 0-based rank floor(p * (n - 1)) of each group; nulls don't count."""
+    asked = df.sparkSession.createDataFrame([(p,) for p in points], "point double")
+    return _at_ranks(df, by, value, asked, lambda p, n: F.floor(p * (n - 1))).withColumnRenamed("point", "p")
 
 
 def cdf(df: DataFrame, by: Sequence[str], value: str, step: int = 5) -> DataFrame:
     """(by..., pct, value) for pct = step, 2 step, ... 100: the sample at rank min(pct * n div 100, n - 1)."""
-    ranked = _ranked(df, by, value).withColumn("pct", F.explode(F.sequence(F.lit(step), F.lit(100), F.lit(step))))
-    at = F.least(F.floor(F.col("pct") * F.col("n") / 100), F.col("n") - 1)
-    return ranked.where((F.col("lo") <= at) & (at < F.col("hi"))).select(*by, "pct", F.col("v").alias("value"))
+    asked = df.sparkSession.range(step, 101, step).select(F.col("id").cast("int").alias("point"))
+    return _at_ranks(df, by, value, asked, lambda p, n: F.least(F.floor(p * n / 100), n - 1)).withColumnRenamed("point", "pct")
 
 
 def throughput(df: DataFrame, by: Sequence[str], seconds: str, value_bytes: int = 512) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import has_prefix
 from palimpsest.plans.visibility import live, visible, winners
 
+#: Parts of the time that an as-of join covers; the versions of one key spread over as many tasks.
+SLICES = 64
+
 
 def get(log: DataFrame, key: str, as_of: int | None = None) -> DataFrame:
     """(key, value, tid): no row if the key is missing or deleted. The key filter reaches the scan.
@@ -41,19 +44,33 @@ def get_in_order(log: DataFrame, wanted: DataFrame, as_of: int | None = None) ->
     return get_many(log, wanted, as_of).select("pos", "key", "value").orderBy("pos")
 
 
-def as_of_join(log: DataFrame, wanted: DataFrame) -> DataFrame:
+def as_of_join(log: DataFrame, wanted: DataFrame, slices: int = SLICES) -> DataFrame:
     """wanted(pos, key, as_of) with (value, tid) of the version visible at each row's own time.
 
-    Log and requests are merged in time order per key, and each request takes the last version before it:
-    one sort, never a product of requests and versions. Null value: missing or deleted; tid 0: missing.
+    Versions of keys that nobody asks for, and those after a key's latest request, go first. Time is cut into `slices`
+    of equal length; within a key and slice, versions and requests are merged in time order, and each request takes the
+    last version before it. What a slice inherits is the newest version of the slices before, of which a key has at most
+    one for each slice. So a key may have any number of versions, and no request meets a version that it doesn't take.
+    Null value: missing or deleted; tid 0: missing. An as_of or key of null finds nothing.
     """
-    version = F.struct("value", "tid")
-    rows = log.select("key", F.col("tid").alias("at"), F.lit(0).alias("kind"), "seq", F.lit(None).cast("long").alias("pos"), version.alias("version"))
-    asks = wanted.select("key", F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), F.lit(None).cast("struct<value:string,tid:bigint>").alias("version"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("key").orderBy("at", "kind", "seq", F.col("version.value")).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.unionByName(asks).withColumn("seen", F.last("version", ignorenulls=True).over(order)).where("kind = 1")
+    asks = wanted.select("pos", "key", "as_of")
+    latest = asks.groupBy("key").agg(F.max("as_of").alias("latest"))
+    span = asks.agg(F.min("as_of").alias("t0"), F.max("as_of").alias("t1"))
+    width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / slices), F.lit(1))
+    at_slice = lambda t: F.greatest(F.floor((t - F.col("t0")) / width), F.lit(0)).cast("int")
+    span = F.broadcast(span)  # one row
+    rows = log.join(latest, "key").where(F.col("tid") <= F.col("latest")).join(span).select("key", at_slice(F.col("tid")).alias("slice"), "tid", "seq", "value")
+    asks = asks.join(span).select("pos", "key", "as_of", at_slice(F.col("as_of")).alias("slice"))
+    # The newest version of each slice, then of all slices before each one that has requests.
+    order = Window.partitionBy("key").orderBy("slice", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = rows.groupBy("key", "slice").agg(F.max(F.struct("tid", "seq", "value")).alias("best")).select("key", (F.col("slice") + 1).alias("slice"), F.lit(False).alias("asked"), "best")
+    places = asks.select("key", "slice").distinct().select("key", "slice", F.lit(True).alias("asked"), F.lit(None).cast("struct<tid:bigint,seq:bigint,value:string>").alias("best"))
+    carried = newest.unionByName(places).withColumn("best", F.last("best", ignorenulls=True).over(order)).where("asked and best is not null").select("key", "slice", F.lit(0).alias("kind"), "best.tid", "best.seq", "best.value", F.col("best.tid").alias("at"))
+    versions = rows.select("key", "slice", F.lit(1).alias("kind"), "tid", "seq", "value", F.col("tid").alias("at"))
+    merged = carried.unionByName(versions).select("key", "slice", "kind", "at", "seq", F.struct("value", "tid").alias("version"), F.lit(None).cast("long").alias("pos"))
+    requests = asks.select("key", "slice", F.lit(2).alias("kind"), F.col("as_of").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("struct<value:string,tid:bigint>").alias("version"), F.col("pos").cast("long").alias("pos"))
+    order = Window.partitionBy("key", "slice").orderBy("at", "kind", "seq", F.col("version.value")).rowsBetween(Window.unboundedPreceding, 0)
+    met = merged.unionByName(requests).withColumn("seen", F.last("version", ignorenulls=True).over(order)).where("kind = 2")
     return met.select("pos", "key", F.col("at").alias("as_of"), F.nullif("seen.value", F.lit("")).alias("value"), F.coalesce("seen.tid", F.lit(0)).alias("tid"))
 
 

@@ -7,10 +7,12 @@ snapshot, and abort at commit when a key they wrote has a later version in the s
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.plans.visibility import visible, winners
@@ -59,6 +61,74 @@ def rollback(store: DataFrame, write_set: DataFrame, tid: int, new_tid: int) ->
     return keys.join(before, "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"), F.lit(new_tid).cast("long").alias("tid"), F.lit(0).cast("long").alias("seq"))
 
 
+#: The operations of a transaction record, by their number in its binary form.
+OPERATIONS = ("CREATE", "COMMIT", "ROLLBACK", "PUT", "DELETE")
+RECORD = "tid long, op string, key string, value string"
+
+
+def journal(store: DataFrame, write_set: DataFrame, tid: int, ended: str) -> DataFrame:
+    """The records (tid, op, key, value) of one transaction: its begin, its writes, and how it ended."""
+    own = write_set.select(F.lit(tid).cast("long").alias("tid"), F.when(F.col("value") == "", "DELETE").otherwise("PUT").alias("op"), "key", F.nullif("value", F.lit("")).alias("value"))
+    bare = F.lit(None).cast("string")
+    marks = store.sparkSession.range(2).select(F.lit(tid).cast("long").alias("tid"), F.when(F.col("id") == 0, "CREATE").otherwise(ended).alias("op"), bare.alias("key"), bare.alias("value"))
+    return marks.unionByName(own)
+
+
+def record_identity() -> list[Column]:
+    """What two records (tid, op, key, value) must agree on to be equal: keys count for PUT and DELETE, values for PUT."""
+    op = F.col("op")
+    return [F.col("tid"), op, F.when(op.isin("PUT", "DELETE"), F.col("key")).alias("key"), F.when(op == "PUT", F.col("value")).alias("value")]
+
+
+def distinct_records(records: DataFrame) -> DataFrame:
+    """(tid, op, key, value, n): equal records as one, with what plays no part in equality set to null."""
+    return records.select(*record_identity()).groupBy("tid", "op", "key", "value").agg(F.count("*").alias("n"))
+
+
+class TidBook:
+    """The times that transactions took, ended with, and have in runs: `next_tid`, `ready` and `flushed`.
+
+    A flush of a time also settles aborted transactions before it; a leading run of settled times is kept as its last.
+    """
+
+    def __init__(self, next_tid: int = 0, flushed: Iterable[int] = (0,)):
+        self.next_tid, self.flushed, self.ready = next_tid, set(flushed), {}
+
+    def take(self) -> int:
+        self.next_tid += 1
+        return self.next_tid - 1
+
+    def end(self, tid: int, aborted: bool = False) -> None:
+        self.ready[tid] = aborted
+
+    def flush(self, tid: int) -> None:
+        settled = [t for t, aborted in self.ready.items() if t == tid or (aborted and t < tid)]
+        if tid in self.ready:
+            self.flushed.update(settled)
+        else:
+            self.flushed.update(t for t in settled if t != tid)
+        for t in settled:
+            del self.ready[t]
+        own = sorted(self.flushed)
+        run = next((i for i in range(len(own)) if i + 1 == len(own) or own[i + 1] != own[i] + 1), 0)
+        self.flushed = set(own[run:])
+
+    @property
+    def checkpoint(self) -> int:
+        """Every time up to this one is settled."""
+        return min(self.flushed)
+
+    def encode(self) -> bytes:
+        return struct.pack(f"<{2 + len(self.flushed)}Q", self.next_tid, len(self.flushed), *sorted(self.flushed))
+
+    @classmethod
+    def decode(cls, data: bytes) -> TidBook:
+        next_tid, n = struct.unpack_from("<2Q", data)
+        if len(data) < 16 + 8 * n:
+            raise ValueError("a book of transaction times is cut short")
+        return cls(next_tid, struct.unpack_from(f"<{n}Q", data, 16))
+
+
 @dataclass
 class Transaction:
     """A transaction on a store with `log`, `allocate()` and `append(rows)`; see palimpsest.sources.store."""

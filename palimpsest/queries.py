@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.checksums import bloom_size
 from palimpsest.functions.keys import entry_bytes, make_key, make_value
-from palimpsest.operators import catalog, compaction, metrics, reads, recovery, transactions
+from palimpsest.operators import bloom, catalog, compaction, metrics, reads, recovery, transactions
 from palimpsest.plans.visibility import live, visible, winners
 
 KEYS = [f"part:{i:08d}" for i in (5, 17, 1, 5, 999_999_999, 30)]
@@ -43,12 +44,12 @@ def placed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The later half at level 0 by time; of the rest, every other 25 keys a file of level 1."""
+    """The later half at level 0 by time; of the rest, 25 keys a file, by turns of level 1 and 0."""
     log = li_log(spark, sf_dir).withColumn("p", F.substring("key", 6, 8).cast("int"))
     log = log.join(F.broadcast(log.agg(F.max("tid").alias("mx"))))
     late = F.col("tid") * 2 > F.col("mx")
-    log = log.withColumn("level", F.when(late, 0).otherwise(1)).withColumn("sst_id", F.when(late, F.expr("tid div 1000")).otherwise(100_000 + F.expr("p div 25")))
-    return log.where(late | (F.expr("(p div 25) % 2") == 0)).drop("p", "mx")
+    upper = late | (F.expr("(p div 25) % 2") == 1)
+    return log.withColumn("level", F.when(upper, 0).otherwise(1)).withColumn("sst_id", F.when(late, F.expr("tid div 1000")).otherwise(100_000 + F.expr("p div 25"))).drop("p", "mx")
 
 
 def manifest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def write_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = "ev AS (SELECT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CASE WHEN event_type = 'error' THEN '' ELSE props END AS value, event_id + 1 AS tid, CAST(0 AS BIGINT) AS seq FROM events)"
 LI = "li AS (SELECT 'part:' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag || l_linestatus END AS value, l_orderkey + 1 AS tid, CAST(l_linenumber AS BIGINT) AS seq FROM lineitem)"
 A = LI + ", a AS (SELECT *, (tid - 1) // 2000 AS sst_id, CASE WHEN (tid - 1) // 2000 > (SELECT max((tid - 1) // 2000) FROM li) - 4 THEN 0 ELSE 1 END AS level FROM li)"
-B = LI + ", b0 AS (SELECT *, CAST(substr(key, 6, 8) AS INT) AS p, (SELECT max(tid) FROM li) AS mx FROM li), b AS (SELECT key, value, tid, seq, CASE WHEN tid * 2 > mx THEN 0 ELSE 1 END AS level, CASE WHEN tid * 2 > mx THEN tid // 1000 ELSE 100000 + p // 25 END AS sst_id FROM b0 WHERE tid * 2 > mx OR (p // 25) % 2 = 0)"
+B = LI + ", b0 AS (SELECT *, CAST(substr(key, 6, 8) AS INT) AS p, (SELECT max(tid) FROM li) AS mx FROM li), b AS (SELECT key, value, tid, seq, CASE WHEN tid * 2 > mx OR (p // 25) % 2 = 1 THEN 0 ELSE 1 END AS level, CASE WHEN tid * 2 > mx THEN tid // 1000 ELSE 100000 + p // 25 END AS sst_id FROM b0)"
 SIZE = "CAST(strlen(key) + strlen(value) + 56 AS BIGINT)"
 FILES = f"files AS (SELECT sst_id, level, min(tid) AS min_tid, max(tid) AS max_tid, min(key) AS first_key, max(key) AS last_key, count(*) AS n_rows, CAST(sum({SIZE}) AS BIGINT) AS n_bytes FROM {{}} GROUP BY sst_id, level)"
 WAL = EV + ", wal AS (SELECT key, value, tid, (tid - 1) // 1000 AS segment, (tid - 1) % 1000 AS pos FROM ev)"
@@ -290,6 +291,25 @@ def find_block_range(spark, sf_dir):
     return catalog.may_hold_prefix(catalog.block_index(placed_a(spark, sf_dir)), "part:0000001")
 
 
+_HASHED = "list_reduce(list_prepend(CAST(13787848793156543929 AS UHUGEINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS UHUGEINT))), lambda h, c: (xor(h, c) * CAST(13787848793156543929 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT))"
+
+
+@query(f"WITH {LI}, h AS (SELECT *, {_HASHED} AS h0 FROM li), m AS (SELECT *, (xor(h0, h0 >> 33) * CAST(18397679294719823053 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS h1 FROM h) SELECT CAST(xor(h1, h1 >> 33) % 8 AS INT) AS shard, count(*) AS n_rows, CAST(sum({SIZE}) AS BIGINT) AS n_bytes FROM m GROUP BY 1")
+def shard_counts(spark, sf_dir):
+    return catalog.shard_counts(li_log(spark, sf_dir))
+
+
+_BITS, _HASHES = bloom_size(bloom.EXPECTED, bloom.RATE)
+_PLACE = f"(CAST('0x' || substr(md5(key), 1, 13) AS BIGINT) + i * (CAST('0x' || substr(md5(key), 14, 13) AS BIGINT) | 1)) % {_BITS} AS place"
+
+
+@query(f"WITH {A}, q(key) AS (VALUES {', '.join(f"('{k}')" for k in dict.fromkeys(KEYS))}), has AS (SELECT DISTINCT sst_id, {_PLACE} FROM (SELECT DISTINCT sst_id, key FROM a), range({_HASHES}) t(i)), need AS (SELECT DISTINCT key, {_PLACE} FROM q, range({_HASHES}) t(i)) SELECT sst_id, key FROM need JOIN has USING (place) GROUP BY sst_id, key HAVING count(*) = (SELECT count(*) FROM need n WHERE n.key = need.key)")
+def bloom_candidates(spark, sf_dir):
+    """Files that a point read of each key has to open."""
+    log = placed_a(spark, sf_dir)
+    return bloom.may_contain(bloom.build(log), reads.requests(log, KEYS))
+
+
 # ---- compaction, recovery
 
 
@@ -307,9 +327,10 @@ def tombstone_gc(spark, sf_dir):
     return won_rows.join(inside, "key", "left").groupBy((F.col("value") == "").alias("deleted"), F.coalesce("covered", F.lit(False)).alias("covered")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LI}, w AS {won('li', 'tid <= 4000')} SELECT key, value, tid, seq FROM w UNION ALL SELECT key, value, tid, seq FROM li WHERE tid > 4000")
+@query(f"WITH {B}, {FILES.format('b')}, w AS {won('b', 'level = 0 AND tid <= 4000')} SELECT key, value, tid, seq FROM w WHERE value <> '' OR EXISTS (SELECT 1 FROM files WHERE level = 1 AND first_key <= w.key AND w.key <= last_key) UNION ALL SELECT key, value, tid, seq FROM b WHERE level = 0 AND tid > 4000")
 def compaction_retaining(spark, sf_dir):
-    return compaction.compact(li_log(spark, sf_dir), catalog.file_stats(placed_b(spark, sf_dir)), retain_since=4000)
+    placed = placed_b(spark, sf_dir)
+    return compaction.compact(placed.where("level = 0"), catalog.file_stats(placed.where("level = 1")), retain_since=4000)
 
 
 @query(f"WITH {WAL} SELECT key, value, tid, segment * 1099511627776 + pos AS seq FROM wal WHERE tid > (SELECT max(tid) FROM wal) // 2")
@@ -358,13 +379,21 @@ def txn_rollback(spark, sf_dir):
     return transactions.rollback(li_log(spark, sf_dir), write_set(spark, sf_dir), 3000, 2_000_000_000)
 
 
+@query(f"WITH {WS}, r AS (SELECT t.tid, CASE WHEN value = '' THEN 'DELETE' ELSE 'PUT' END AS op, key, nullif(value, '') AS value FROM ws, (VALUES (3000), (3001), (3000)) t(tid) UNION ALL SELECT t.tid, o.op, NULL, NULL FROM (VALUES (3000, 'COMMIT'), (3001, 'ROLLBACK'), (3000, 'COMMIT')) t(tid, fin), LATERAL (VALUES ('CREATE'), (t.fin)) o(op)) SELECT CAST(tid AS BIGINT) AS tid, op, key, value, count(*) AS n FROM r GROUP BY 1, 2, 3, 4")
+def txn_records(spark, sf_dir):
+    """Journals of two transactions, one of them logged twice; equal records counted."""
+    own = write_set(spark, sf_dir)
+    logs = [transactions.journal(own, own, tid, ended) for tid, ended in ((3000, "COMMIT"), (3001, "ROLLBACK"), (3000, "COMMIT"))]
+    return transactions.distinct_records(logs[0].unionByName(logs[1]).unionByName(logs[2]))
+
+
 # ---- metrics
 
 
-@query("WITH d AS (SELECT DISTINCT event_id AS id FROM events WHERE event_id < 50 OR event_id % 3 = 0), r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM d) SELECT id FROM r WHERE g <> (SELECT min(g) FROM r) UNION ALL SELECT max(id) FROM r WHERE g = (SELECT min(g) FROM r)")
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), r AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM d) SELECT id FROM r WHERE g <> (SELECT min(g) FROM r) UNION ALL SELECT max(id) FROM r WHERE g = (SELECT min(g) FROM r)")
 def compress_ids(spark, sf_dir):
-    ids = _table(spark, sf_dir, "events").where("event_id < 50 or event_id % 3 = 0").select(F.col("event_id").alias("id"))
-    return metrics.compress_ids(ids)
+    """Orders without a line leave gaps."""
+    return metrics.compress_ids(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")))
 
 
 @query(f"WITH {LAT}, g AS (SELECT event_type, list_sort(list(ns)) AS l, count(*) AS n FROM lat GROUP BY event_type) SELECT event_type, p, l[CAST(floor(p * (n - 1)) AS BIGINT) + 1] AS value FROM g, (VALUES (CAST(0.5 AS DOUBLE)), (0.95), (0.99), (0.999), (0.9999)) t(p)")
