@@ -23,8 +23,9 @@ from palimpsest.llm.common import numbered, pick, position, slices, texts
 BUCKETS = 1 << 13
 MAX_TRAIN = 1600
 CENTROIDS = 4
-#: A text is rejected beyond this share of the smallest training similarity of its language.
-SLACK = 0.3
+#: A text is rejected below SLACK times the similarity that all but the share QUANTILE of its language's training texts
+#: reach: one odd labelled text doesn't set the floor for all.
+SLACK, QUANTILE = 0.35, 0.01
 UND = "und"
 #: ASCII other than letters becomes a space, A-Z lower case; bytes of other scripts stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -142,7 +143,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         c = _kmeans(x, clusters)
         langs += [lang] * len(c)
         centroids.append(c)
-        floors += [SLACK * float((x @ c.T).max(axis=1).min())] * len(c)
+        floors += [SLACK * float(np.quantile((x @ c.T).max(axis=1), QUANTILE))] * len(c)
     if not langs:
         return shell
     return Model(tuple(langs), np.concatenate(centroids).astype(np.float32), np.array(floors), idf)

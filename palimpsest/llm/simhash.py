@@ -143,7 +143,9 @@ def by_blocks(nodes: DataFrame, max_bits: int = MAX_BITS, extra: int = EXTRA) ->
     Should two keys share a name, their members only meet more pairs to verify.
     """
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(block_masks(max_bits, extra))])
-    return nodes.select("f0", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "f0")
+    # As many rows as keys leave each row: spread first, as distinct nodes come in few partitions.
+    spread = nodes.select("f0").repartition(nodes.sparkSession.sparkContext.defaultParallelism * 4, "f0")
+    return spread.select("f0", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "f0")
 
 
 def bit_tables(n: int, differ: float, words: int = LONG_WORDS, recall: float = RECALL) -> list[np.ndarray]:
@@ -343,6 +345,7 @@ def links(filed: DataFrame, max_bits: int, words: int = 1) -> DataFrame:
         else:
             two = (cut - begins == 2) & ~crossed  # pairs, the most frequent groups, all at once
             at = begins[two]
+            at = at[(np.abs(pivot_table(fps[at]) - pivot_table(fps[at + 1])) <= max_bits).all(axis=1)]
             at = at[np.bitwise_count(fps[at] ^ fps[at + 1]).sum(axis=1) <= max_bits]
             a += at.tolist()
             z += (at + 1).tolist()
@@ -394,11 +397,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
+        # The minima are written first: Spark splits a hub in a join of two shuffles, but not above an aggregate.
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        big = stored(big, "components-big")
+        low = stored(big.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         pairs = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "components")
         sums = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -125,7 +125,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_
     """(page_id, host, path, rule, verdict), one row per page.
 
     verdict is the fixed rule's; without one, `block` if a mined rule fires, else `allow`. A page is labelled
-    by the labels row with its id (a repeated id: the largest label; a null label: none).
+    by the labels row with its id (a repeated id: the largest label; a null label: none). Repeated pages keep their rows and
+    a null id its row; a null or empty url has no tokens, so no mined rule fires on it. A URL of any length is read whole:
+    what it adds to the mining is bounded by the tokens that enough blocked URLs share. Without labels, or with fewer than
+    min_count blocked ones, nothing is mined; an empty table of pages gives no rows.
     """
     own = pick(pages, page_id=id_col, url=url_col)
     marks = pick(labels, page_id=label_id, label=label_col).groupBy("page_id").agg((F.max("label") > 0).alias("block"))

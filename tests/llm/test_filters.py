@@ -1,5 +1,8 @@
 """Language ID, quality rules and URL filters."""
 
+import base64
+import math
+import random
 import re
 import zlib
 
@@ -48,6 +51,64 @@ def test_languages_on_odd_texts(docs, oddities, clashing, model):
     assert [r[0] for r in kept.collect()] == [1] and len(kept.columns) == 16
 
 
+def plain_vector(text, idf):
+    """TF-IDF over hashed byte trigrams, one at a time."""
+    fold = {**{b: 32 for b in range(128)}, **{b: b for b in range(97, 123)}, **{b: b + 32 for b in range(65, 91)}, **{b: b for b in range(128, 256)}}
+    folded = [32, *(fold[b] for b in text.encode()), 32]
+    tf = {}
+    for a, b, c in zip(folded, folded[1:], folded[2:]):
+        if (a, b, c) != (32, 32, 32):
+            k = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 19
+            tf[k] = tf.get(k, 0) + 1
+    v = {k: (1 + math.log(n)) * float(idf[k]) for k, n in tf.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / size for k, x in v.items()}
+
+
+def test_predictions_against_plain_code(spark, sf_dir, docs, oddities):
+    """Every document of a table, and odd ones, by the rule written out; the weights by counting documents."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(table, max_train=10**6)
+    rows = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    train = [t for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang is not None]
+    sizes = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None:
+            sizes[lang] = sizes.get(lang, 0) + 1
+    flat = [1.0] * langid.BUCKETS
+    found = {}
+    for t in train:
+        for k in plain_vector(t, flat):
+            found[k] = found.get(k, 0) + 1
+    assert all(abs(model.idf[k] - (math.log((1 + len(train)) / (1 + n)) + 1)) < 1e-4 for k, n in found.items())
+    assert set(model.langs) == set(sizes) and len(model.langs) <= 4 * len(sizes)
+    odd = [(10**6 + k, t, None) for k, (_, t, _) in enumerate(oddities) if len(t or "") < 20_000]
+    out = {r.doc_id: r for r in langid.predict(docs([(i, t, lang) for i, t, lang in rows] + odd), model).collect()}
+    for i, t, _ in rows + odd:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (out[i].lang_pred, out[i].score, out[i].rejected) == ("und", 0.0, True)
+            continue
+        v = plain_vector(t, model.idf)
+        near = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(near)
+        assert abs(out[i].score - min(1.0, max(0.0, best))) < 1e-4
+        k = model.langs.index(out[i].lang_pred)
+        assert max(n for n, lang in zip(near, model.langs) if lang == out[i].lang_pred) > best - 1e-4
+        assert out[i].rejected == (out[i].score < model.floors[k]) or abs(best - model.floors[k]) < 1e-4
+
+
+def test_what_is_no_language_of_the_model_goes(spark):
+    """One odd labelled text doesn't set the floor; texts of other kinds are rejected, and few others."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(4 * k, "Zq.", "en") for k in range(10**6, 10**6 + 2)], "doc_id long, text string, lang string")
+    model = langid.fit(table.select("doc_id", "text", "lang").unionByName(odd), max_train=10**6)
+    rng = random.Random(1)
+    strange = [base64.b64encode(rng.randbytes(900)), "To jest zwykły polski tekst o pogodzie i przyrodzie".encode(), "这是一个测试文本，关于天气。".encode(), "Это простой русский текст о погоде".encode()]
+    assert model.predict(strange)[2].all()
+    rows = langid.predict(table, model).where("lang_pred <> 'und'")
+    assert rows.where("rejected").count() <= 0.005 * rows.count()
+
+
 def test_a_model_of_nothing_rejects_everything(docs):
     empty = langid.fit(docs([(1, None, "en"), (None, "text", "en"), (5, "text", None)]))
     assert [r.lang_pred for r in langid.predict(docs([(1, "text", None)]), empty).collect()] == ["und"]
@@ -93,7 +154,7 @@ def test_the_order_of_rules_changes_no_verdict(docs, oddities):
 def test_profile_ranks_by_rejection_per_cost(docs):
     rows = docs([(i, "too short", None) for i in range(30)])
     ranked = quality.profile(rows)
-    rates = [(share + 1e-6) / max(s, 1e-6) for _, s, share in ranked]
+    rates = [(share + 1e-6) / s for _, s, share in ranked]
     assert rates == sorted(rates, reverse=True) and {r.name: share for r, _, share in ranked}["short"] == 1
 
 

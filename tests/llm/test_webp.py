@@ -1,5 +1,6 @@
 """Lossless WebP: every feature of the format through both decoders, and the media operator."""
 
+import base64
 import hashlib
 import zlib
 
@@ -58,6 +59,30 @@ def test_meta_prefix_groups():
     assert (found[:, :4] == 0xFF000A00).all() and (found[:, 4:] == 0xFF00C800).all()
 
 
+#: Fixed value: the one-pixel lossless image that web pages commonly test a browser's support with; made by another encoder.
+ONE_PIXEL = "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="
+
+
+def test_an_image_of_another_encoder():
+    for fast in (True, False):
+        assert webp.decode(base64.b64decode(ONE_PIXEL), fast).tolist() == [[0]]
+
+
+def plain_feature(p):
+    mean = sum(p) // len(p)
+    var = sum(x * x for x in p) // len(p) - mean * mean
+    change = sum(abs(a - b) for a, b in zip(p, p[1:])) // len(p)
+    bins = [sum(x // 32 == k for x in p) * 1000 // len(p) for k in range(8)]
+    return f"64x{len(p) // 64} mean={mean} var={var} change={change} hist={','.join(map(str, bins))}"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=600))
+def test_features_against_plain_code(data):
+    payload = media.padded(data)
+    assert media.features(payload) == plain_feature(payload)
+
+
 def test_damage_is_noticed():
     data = round_trip(NOISE)
     for broken in (b"RIFF", data[:40], data[:20] + b"\0" + data[21:]):
