@@ -48,6 +48,8 @@ EXTRA = 3
 TILE = 4096
 N_PIVOTS = 24
 RECALL = 0.995
+#: Neighbours of a node that one task takes (16 bytes each).
+HUB = 1 << 20
 LONG_WORDS = 4
 _DRAWN = np.random.default_rng(20240229)
 #: Reference fingerprints and word mixers: fixed, so that every task builds the same tables.
@@ -396,20 +398,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = stored(pairs, "components")
     seen = None
     for _ in range(rounds):
-        # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
-        # The minima are written first: Spark splits a hub in a join of two shuffles, but not above an aggregate.
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: u and its smaller neighbours go to the smallest of them.
-        big = stored(big, "components-big")
-        low = stored(big.groupBy("u").agg(F.min("v").alias("m")), "components-low")
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "components")
-        sums = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"))
+        *sums, most = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
         if sums == seen:
             break
         seen = sums
+        # Where a hub has many neighbours, what is joined is written first: Spark splits a hub in a join of two shuffles,
+        # but not above an aggregate.
+        kept = (lambda df, name: stored(df, name)) if (most or 0) > HUB else (lambda df, name: df)
+        # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
+        low = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
+        big = kept(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components-big")
+        # Small star: u and its smaller neighbours go to the smallest of them.
+        low = kept(big.groupBy("u").agg(F.min("v").alias("m")), "components-low")
+        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        pairs = stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "components")
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -155,7 +155,10 @@ def test_deduplicated_keeps_one_row_of_each_class(docs):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("7", a), ("7", b), ("9", c), ("3", d), ("10", "x y"), ("None", "p q"), ("None", rows[-1][1])])
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("hub", [1 << 20, 3])
+def test_components_of_long_chains_and_stars(spark, monkeypatch, hub):
+    """Also with what is joined written first, as for large hubs."""
+    monkeypatch.setattr(simhash, "HUB", hub)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, None)]
     rng.shuffle(edges)
