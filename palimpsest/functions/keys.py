@@ -39,3 +39,8 @@ def make_key(prefix: str, index: Column) -> Column:
 def make_value(size: int, seed: Column) -> Column:
     """`size` letters of the alphabet, over and over, from the letter that the seed names."""
     return F.substring(F.lit(ALPHABET * (size // 26 + 2)), F.pmod(seed, F.lit(26)).cast("int") + 1, F.lit(size))
+
+
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """A whole number from low to high, both included, for each row; repeatable with a seed over the same partitions."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int")

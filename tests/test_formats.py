@@ -82,6 +82,12 @@ def test_prefix_end():
     assert keys.prefix_end(b"\xff") is None and keys.prefix_end("") is None
 
 
+def test_random_numbers_stay_in_range(spark):
+    df = spark.range(2000, numPartitions=2).select(keys.random_int(-3, 5, seed=4).alias("x"))
+    found = [r.x for r in df.collect()]
+    assert set(found) == set(range(-3, 6)) and found == [r.x for r in df.collect()]
+
+
 def test_nearest_ranks(spark):
     df = spark.createDataFrame([("g", x) for x in (1, 2, 3, 4)], "g string, x long")
     assert {r.p: r.value for r in metrics.percentiles(df, ["g"], "x", (0.5, 0.95)).collect()} == {0.5: 2, 0.95: 3}
