@@ -15,6 +15,10 @@ from palimpsest.functions.checksums import bloom_size
 from palimpsest.functions.keys import entry_bytes, make_key, make_value
 from palimpsest.operators import bloom, catalog, compaction, metrics, reads, recovery, transactions
 from palimpsest.plans.visibility import live, visible, winners
+from palimpsest.sources import binary
+from palimpsest.sources.files import shared_folder
+from palimpsest.sources.store import VersionedStore
+from palimpsest.streaming.ingest import ingest
 
 KEYS = [f"part:{i:08d}" for i in (5, 17, 1, 5, 999_999_999, 30)]
 
@@ -438,3 +442,196 @@ def cache_lru2(spark, sf_dir):
 @query(f"WITH {LI} SELECT count(*) AS n_oversized FROM li WHERE strlen(key) > 65535 OR strlen(value) > 1")
 def oversized_rows(spark, sf_dir):
     return visible(li_log(spark, sf_dir)).where((F.octet_length("key") > 65_535) | (F.octet_length("value") > 1)).agg(F.count("*").alias("n_oversized"))
+
+
+# ---- the persistent store: each query writes one into the shared folder and reads it back
+
+
+def loaded_store(spark: SparkSession, sf_dir: str, compact_after: tuple[int, ...] = ()) -> VersionedStore:
+    """li in four batches by time, one tid each, through `write_frame`; level 0 is compacted after the batches named."""
+    log = li_log(spark, sf_dir)
+    log = log.join(F.broadcast(log.agg(F.max("tid").alias("mx")))).select("key", "value", (F.col("tid") * 8 + F.col("seq")).alias("seq"), F.expr("tid * 4 div (mx + 1)").alias("batch"))
+    store = VersionedStore(spark, shared_folder(spark, "store"))
+    for k in range(4):
+        store.write_frame(log.where(F.col("batch") == k).drop("batch"))
+        if k in compact_after:
+            store.compact(0)
+    return store
+
+
+def logged_store(spark: SparkSession, sf_dir: str) -> VersionedStore:
+    """Single writes of the nations (25, whatever the scale), a flush, then writes that only the log holds; reopened."""
+    nations = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    regions = _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    store = VersionedStore(spark, shared_folder(spark, "store"))
+    for n in nations:
+        store.put(f"nation:{n.n_name}", f"n{n.n_regionkey}")
+    store.flush()
+    store.put_batch([(f"region:{r.r_name}", f"r{r.r_regionkey}") for r in regions])
+    store.remove(f"region:{regions[0].r_name}")
+    store.remove_batch([f"nation:{n.n_name}" for n in nations if n.n_regionkey == 2])
+    store.sync()
+    return VersionedStore(spark, store.root)
+
+
+BATCHES = LI + ", bt AS (SELECT key, value, tid * 4 // ((SELECT max(tid) FROM li) + 1) + 1 AS tid, tid * 8 + seq AS seq FROM li)"
+LOGGED = """n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS turn, count(*) OVER () AS most FROM nation), lg AS (
+  SELECT 'nation:' || n_name AS key, 'n' || n_regionkey AS value, turn AS tid, 0 AS seq FROM n
+  UNION ALL SELECT 'region:' || r_name, 'r' || r_regionkey, (SELECT max(most) + 1 FROM n), 0 FROM region
+  UNION ALL SELECT 'region:' || r_name, '', (SELECT max(most) + 2 FROM n), 0 FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)
+  UNION ALL SELECT 'nation:' || n_name, '', most + 3, 0 FROM n WHERE n_regionkey = 2)"""
+
+
+@query(f"WITH {BATCHES} SELECT key, value, tid FROM {won('bt')} WHERE value <> ''")
+def store_batches(spark, sf_dir):
+    return loaded_store(spark, sf_dir).scan()
+
+
+@query(f"WITH {BATCHES} SELECT key, value, tid FROM {won('bt', 'tid <= 2')} WHERE value <> ''")
+def store_snapshot_scan(spark, sf_dir):
+    return loaded_store(spark, sf_dir).scan(as_of=2)
+
+
+@query(f"WITH {BATCHES} SELECT key, value, tid, seq FROM {won('bt')} WHERE value <> ''")
+def store_compacted(spark, sf_dir):
+    """The rows left in the runs: two compactions into the lowest level drop old versions and tombstones."""
+    return loaded_store(spark, sf_dir, compact_after=(1, 3)).log()
+
+
+@query(f"WITH {BATCHES}, w AS {won('bt')}, q(pos, key) AS (VALUES {_ASKED}) SELECT pos, q.key, nullif(value, '') AS value, coalesce(tid, 0) AS tid FROM q LEFT JOIN w USING (key)")
+def store_multi_get(spark, sf_dir):
+    store = loaded_store(spark, sf_dir, compact_after=(2,))
+    return store.get_frame(reads.requests(store.log(), KEYS))
+
+
+@query(f"WITH {BATCHES} SELECT key, value, tid FROM {won('bt')} WHERE value <> '' AND starts_with(key, 'part:0000001')")
+def store_prefix(spark, sf_dir):
+    return loaded_store(spark, sf_dir, compact_after=(2,)).get_prefix_range("part:0000001")
+
+
+@query(f"WITH {BATCHES} SELECT key, value, tid FROM {won('bt')} WHERE value <> ''")
+def store_backfilled(spark, sf_dir):
+    """The store opens from the runs that it finds where its manifest is gone."""
+    store = loaded_store(spark, sf_dir)
+    store.files.delete(f"{store.root}/manifest")
+    return VersionedStore(spark, store.root).scan()
+
+
+@query(f"WITH {LOGGED} SELECT key, value, tid FROM {won('lg')} WHERE value <> ''")
+def store_logged_writes(spark, sf_dir):
+    return logged_store(spark, sf_dir).scan()
+
+
+@query(f"WITH {LOGGED} SELECT key, value, tid FROM lg")
+def store_versions(spark, sf_dir):
+    """Every version, deletions included, from runs and replayed log."""
+    return logged_store(spark, sf_dir).log().select("key", "value", "tid")
+
+
+@query(f"WITH {LI} SELECT key, value, CAST(1 AS BIGINT) AS tid FROM {won('li')} WHERE value <> ''")
+def store_cleared(spark, sf_dir):
+    """A cleared store holds nothing of before, log and times included."""
+    store = logged_store(spark, sf_dir)
+    store.clear()
+    store.write_frame(li_log(spark, sf_dir).select("key", "value", (F.col("tid") * 8 + F.col("seq")).alias("seq")))
+    return VersionedStore(spark, store.root).scan()
+
+
+@query(f"WITH {LOGGED}, tx(key, value, tid, seq) AS (SELECT 'region:' || r_name, 'second', (SELECT max(most) + 5 FROM n), 0 FROM region UNION ALL SELECT 'region:new', 'second', (SELECT max(most) + 5 FROM n), 0), u AS (SELECT * FROM lg UNION ALL SELECT * FROM tx) SELECT key, value, tid FROM {won('u')} WHERE value <> ''")
+def store_transactions(spark, sf_dir):
+    """Of two transactions on the regions the later commits first and wins; a third is aborted; what stays is reopened."""
+    store = logged_store(spark, sf_dir)
+    names = [r.r_name for r in _table(spark, sf_dir, "region").collect()]
+    first, second, third = (store.transaction() for _ in range(3))
+    for t, said in ((second, "second"), (first, "first"), (third, "third")):
+        for name in (*names, "new"):
+            t.put(f"region:{name}", said)
+    third.abort()
+    second.commit()
+    try:
+        first.commit()
+    except transactions.Conflict:
+        pass
+    return VersionedStore(spark, store.root).scan()
+
+
+@query(f"WITH {EV} SELECT key, value FROM {won('ev')} WHERE value <> ''")
+def store_stream_ingest(spark, sf_dir):
+    """ev as a stream, taken up by two runs of one query: what the first committed doesn't come again."""
+    store = VersionedStore(spark, shared_folder(spark, "store"))
+    # The pattern lets a stream read a table that is one file as well as one that is a folder.
+    e = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    key = F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    rows = e.select(key.alias("key"), F.when(F.col("event_type") == "error", "").otherwise(F.col("props")).alias("value"), F.col("event_id").alias("seq"))
+    for _ in range(2):
+        ingest(rows, store, "events", f"{store.root}-progress").awaitTermination()
+    return store.scan().select("key", "value")
+
+
+# ---- binary formats: encoded and decoded again inside the tasks, a batch of rows a file
+
+
+def _recoded(df: DataFrame, recode, schema: str, by: str | None = None) -> DataFrame:
+    """recode(rows) for each batch of rows, or for all rows of a value of `by`, which a format bounds."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    frame = lambda pdf: pd.DataFrame(recode(list(pdf.itertuples(index=False))), columns=names)
+    if by is not None:
+        return df.groupBy(by).applyInPandas(frame, schema)
+    return df.mapInPandas(lambda batches: map(frame, batches), schema)
+
+
+@query(f"WITH {EV} SELECT key, value, tid FROM ev")
+def wal_codec(spark, sf_dir):
+    def recode(rows):
+        data = binary.encode_wal([(r.key.encode(), r.value.encode(), r.tid) for r in rows])
+        return [(k.decode(), v.decode(), t) for k, v, t in binary.decode_wal(data)]
+
+    return _recoded(ev_log(spark, sf_dir), recode, "key string, value string, tid long")
+
+
+@query(f"WITH {A} SELECT sst_id, key, value, tid FROM a")
+def table_codec(spark, sf_dir):
+    """Placement A's files as sorted tables of blocks of 64 entries."""
+
+    def recode(rows):
+        rows = sorted(rows, key=lambda r: (r.key.encode(), -r.tid, -r.seq))
+        blocks = [[(r.key.encode(), r.value.encode(), r.tid) for r in rows[i : i + 64]] for i in range(0, len(rows), 64)]
+        found = list(binary.decode_table(binary.encode_table(blocks)))
+        return [(rows[0].sst_id, k.decode(), v.decode(), t) for _, k, v, t in found]
+
+    return _recoded(placed_a(spark, sf_dir), recode, "sst_id long, key string, value string, tid long", "sst_id")
+
+
+@query(f"WITH {MANIFEST} SELECT version, action, sst_id, CASE action WHEN 'ADD' THEN level END AS level, CASE action WHEN 'ADD' THEN first_key END AS first_key, CASE action WHEN 'ADD' THEN last_key END AS last_key FROM m")
+def manifest_codec(spark, sf_dir):
+    def recode(rows):
+        events = [("REMOVE", r.sst_id) if r.action == "REMOVE" else ("ADD", r.sst_id, r.level, r.min_tid, r.max_tid, r.first_key.encode(), r.last_key.encode()) for r in rows]
+        out = []
+        for r, (action, sst, *rest) in zip(rows, binary.decode_manifest(binary.encode_manifest(events))):
+            out.append((r.version, action, sst, rest[0], rest[3].decode(), rest[4].decode()) if rest else (r.version, action, sst, None, None, None))
+        return out
+
+    return _recoded(manifest_log(spark, sf_dir), recode, "version long, action string, sst_id long, level int, first_key string, last_key string")
+
+
+@query(f"WITH {WS} SELECT CAST(3000 AS BIGINT) AS tid, CASE WHEN value = '' THEN 'DELETE' ELSE 'PUT' END AS op, key, value FROM ws")
+def record_codec(spark, sf_dir):
+    def recode(rows):
+        records = [(3000, "PUT" if r.value else "DELETE", r.key.encode(), r.value.encode()) for r in rows]
+        return [(t, op, k.decode(), v.decode()) for t, op, k, v in binary.decode_records(binary.encode_records(records))]
+
+    return _recoded(write_set(spark, sf_dir), recode, "tid long, op string, key string, value string")
+
+
+@query(f"WITH {A} SELECT sst_id, count(DISTINCT place) AS n_bits, CAST({_BITS} AS BIGINT) AS bits FROM (SELECT sst_id, {_PLACE} FROM (SELECT DISTINCT sst_id, key FROM a), range({_HASHES}) t(i)) GROUP BY sst_id")
+def bloom_codec(spark, sf_dir):
+    """Each file's filter as bytes and back: how many bits are set."""
+
+    def recode(rows):
+        for r in rows:
+            _, _, _, bits, filled = binary.decode_bloom(binary.encode_bloom(bloom.EXPECTED, bloom.RATE, _HASHES, _BITS, bytes(r.bits)))
+            yield r.sst_id, int.from_bytes(filled, "little").bit_count(), bits
+
+    return _recoded(bloom.filled(bloom.build(placed_a(spark, sf_dir))), recode, "sst_id long, n_bits long, bits long")

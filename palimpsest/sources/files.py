@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that the driver and every executor see, under spark.checkpoint.dir.
+
+    Where that setting is absent, local mode gets a temporary folder; on a cluster it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark._jvm
