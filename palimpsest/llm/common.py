@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.files import shared_folder
+
 
 def position(df: DataFrame, name: str) -> int:
     """Which column has this name: the first that is spelt so, else the first but for upper and lower case."""
@@ -41,17 +41,8 @@ _MADE: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor see, under spark.checkpoint.dir.
-
-    Where that setting is absent, local mode gets a temporary folder; on a cluster it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and every executor see; an open `scratch` deletes it at its end."""
+    path = shared_folder(spark, name)
     if _MADE:
         _MADE[-1].append(path)
     return path

@@ -85,37 +85,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _URL = r"^[\s\S]*?://([^/?#]*)([^?#]*)(\??[^#]*)(#?[\s\S]*)$"
 
-#: FP-growth's rules written out: every combination of a URL's tokens, counted with and without the label.
+#: FP-growth's rules written out: every combination of a URL's tokens that enough blocked URLs have, counted with and
+#: without the label.
 _OP4 = rf"""
 WITH parts AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u, contains(coalesce(url, ''), '://') AS ok,
     translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path
   FROM pages
+), cut AS (
+  SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS segments FROM parts
 ), named AS (
-  SELECT *, CASE WHEN NOT ok THEN [] ELSE list_filter([
+  SELECT *, CASE WHEN NOT ok THEN [] ELSE list_filter(list_concat([
     'scheme:' || nullif(regexp_extract(u, '^([\s\S]*?)://', 1), ''),
     'domain:' || nullif(regexp_extract(host, '([^.]*\.)?[^.]*$', 0), ''),
-    'label:' || CASE WHEN len(string_split(host, '.')) > 2 THEN nullif(string_split(host, '.')[1], '') END,
-    'path1:' || nullif(regexp_replace(coalesce(string_split(path, '/')[2], ''), '[0-9]+', '#', 'g'), ''),
-    'path2:' || nullif(regexp_replace(coalesce(string_split(path, '/')[3], ''), '[0-9]+', '#', 'g'), ''),
-    'depth:' || CAST(least(len(string_split(path, '/')) - 1, 9) AS VARCHAR),
+    'label:' || CASE WHEN len(labels) > 2 THEN nullif(labels[1], '') END,
+    'depth:' || CAST(least(len(segments) - 1, 9) AS VARCHAR),
     'query:' || nullif(regexp_replace(regexp_extract(u, '{_URL}', 3), '=[^&]*', '', 'g'), ''),
     CASE WHEN regexp_extract(u, '{_URL}', 4) <> '' THEN 'fragment:#' END
-  ], lambda x: x IS NOT NULL) END AS tokens FROM parts
+  ], list_transform(range(1, len(labels) - 1), lambda k: 'host:' || array_to_string(labels[k:], '.')),
+  list_transform(range(2, len(segments) + 1), lambda k: 'path' || CAST(k - 1 AS VARCHAR) || ':' || nullif(regexp_replace(segments[k], '[0-9]+', '#', 'g'), ''))
+  ), lambda x: x IS NOT NULL) END AS tokens FROM cut
 ), marks AS (
   SELECT doc_id, max(toxic) > 0 AS block FROM labels GROUP BY doc_id HAVING max(toxic) IS NOT NULL
 ), labelled AS (
-  SELECT tokens, block FROM named JOIN marks ON page_id = doc_id
+  SELECT r, tokens, block FROM named JOIN marks ON page_id = doc_id
 ), least AS (
-  SELECT count(*) AS n, greatest(0.001, 20 / count(*)) AS share FROM labelled
+  SELECT CASE WHEN count(*) < 20 THEN 1e18 ELSE ceil(greatest(0.001, 20 / count(*)) * count(*)) END AS need FROM labelled
+), often AS (
+  SELECT token FROM (SELECT unnest(tokens) AS token, block FROM labelled) GROUP BY token HAVING count(*) FILTER (WHERE block) >= (SELECT need FROM least)
+), reduced AS (
+  SELECT r, block, list(token ORDER BY token) AS items FROM (SELECT r, block, unnest(tokens) AS token FROM labelled) JOIN often USING (token) GROUP BY r, block
 ), combos AS (
-  SELECT list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS items, block
-  FROM labelled, range(1, 256) t(m) WHERE m < (1 << len(tokens))
+  SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, block FROM (SELECT items, block, unnest(range(1, 1 << len(items))) AS m FROM reduced)
 ), rules AS (
   SELECT items FROM combos GROUP BY items
-  HAVING count(*) FILTER (WHERE block) >= (SELECT CASE WHEN share > 1 THEN 1e18 ELSE ceil(share * n) END FROM least)
-    AND count(*) FILTER (WHERE block) / count(*) >= 0.6
+  HAVING count(*) FILTER (WHERE block) >= (SELECT need FROM least) AND count(*) FILTER (WHERE block) / count(*) >= 0.6
 ), fired AS (
   SELECT DISTINCT r FROM named, rules WHERE list_has_all(tokens, items)
 ), fits AS (

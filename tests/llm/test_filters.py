@@ -208,3 +208,22 @@ def test_a_site_and_a_deep_segment_get_their_rules(spark):
     found = {r.page_id: r.verdict for r in urlfilter.judge(pages, labels, []).collect()}
     assert {i: found[i] for i in new} == {i: v for i, (_, v) in new.items()}
     assert all(found[i] == ("block" if bad else "allow") for i, _, bad in rows)
+
+
+def test_mined_rules_equal_their_sql(spark, tmp_path):
+    """Planted sites and segments: the query's SQL mines the same rules from every part of the URLs."""
+    import duckdb
+
+    urls = [(i, f"http://www.{'Farm' if i % 3 == 0 else f'site{i % 7}'}.example.com/a/b/{i}", int(i % 3 == 0)) for i in range(240)]
+    urls += [(1000 + i, f"https://one.org/a/b/{'pills' if i % 2 else 'news'}/{i}?p={i}&q=1{'#top' if i % 5 == 0 else ''}", i % 2) for i in range(200)]
+    urls += [(2000 + i, f"http://m{i % 2}.two.info/{'x' if i % 4 < 2 else 'y'}", int(i % 4 == 0)) for i in range(400)]  # only the pair m0, x leads to the label
+    urls += [(3000 + i, u, None) for i, u in enumerate(("http://www.farm.example.com/c", "http://www.site1.example.com/a/b", "http://q.biz/q/r/pills/1", "http://m0.two.info/x?1", "http://m1.two.info/x", "none", None, ""))]
+    spark.createDataFrame([(i, u, None) for i, u, _ in urls] + [(0, "http://twice.biz/a", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, None, t) for i, _, t in urls] + [(5, None, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [tuple(r) for r in QUERIES["op4_url_filters"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(map(repr, out)) == sorted(map(repr, c.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE_SQL['op4_url_filters']})").fetchall()))
+    found = {r[0]: r[4] for r in out}
+    assert [found[3000 + i] for i in range(8)] == ["block", "allow", "block", "block", "allow", "allow", "allow", "allow"]
