@@ -64,10 +64,9 @@ def compact(log: DataFrame, deeper: DataFrame, retain_since: int | None = None)
     return base.unionByName(log.where(F.col("tid") > retain_since).select("key", "value", "tid", "seq"))
 
 
-def in_files(log: DataFrame, n: int | None) -> DataFrame:
-    """The log dealt to key ranges, each sorted by key and newest version first; one file each when written.
-
-    None for n: as many as the session shuffles to, less those that adaptive execution joins.
-    """
-    dealt = log.repartitionByRange("key") if n is None else log.repartitionByRange(n, "key")
-    return dealt.sortWithinPartitions("key", F.desc("tid"), F.desc("seq"))
+def in_files(log: DataFrame, n: int, first: int = 0, whole_keys: bool = True) -> DataFrame:
+    """The log dealt to n ranges of keys, or of versions, each with an sst_id from `first` on and sorted by key and newest
+    version first; one file each when written by sst_id. The order begins with sst_id, so the writer need not sort again."""
+    order = [F.col("key"), F.desc("tid"), F.desc("seq")]
+    dealt = log.repartitionByRange(n, *(order[:1] if whole_keys else order))
+    return dealt.withColumn("sst_id", F.spark_partition_id().cast("long") + first).sortWithinPartitions("sst_id", *order)

@@ -16,8 +16,7 @@ Single writes are logged as they are made, gather on the driver, as they would i
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -219,33 +218,23 @@ class VersionedStore:
 
     # ---- commits
 
-    @contextmanager
-    def _settings(self, **values) -> Iterator[None]:
-        names = {f"spark.sql.{k.replace('__', '.')}": str(v) for k, v in values.items()}
-        before = {k: self.spark.conf.get(k, None) for k in names}
-        try:
-            for k, v in names.items():
-                self.spark.conf.set(k, v)
-            yield
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-
     def _commit(self, rows: DataFrame, level: int, removed: Iterable[int], checkpoint: int, source: str | None = None, batch: int | None = None, n_bytes: int | None = None) -> None:
-        """Write rows as runs of a level, evaluated once, then record them.
+        """Write rows as runs of a level, then record them.
 
-        With n_bytes (an upper bound) the number of runs is known. Else Spark's adaptive execution joins the sorted
-        partitions, of which there are as many as the session shuffles to, into runs of about file_bytes as they turn out.
+        There are as many runs as n_bytes (an upper bound) asks for; where it isn't given, the rows are measured first. The
+        size of shuffled data would not tell: compressed, it may be a small part of what a task has to sort.
         """
         first, attempt = self.next_sst, f"{uuid.uuid4().hex}/level={level}"
         path = f"{self.root}/data/{attempt}"
         sized = rows.withColumn("size", entry_bytes(F.col("key"), F.col("value")))
-        with self._settings(adaptive__enabled="true", adaptive__coalescePartitions__parallelismFirst="false", adaptive__advisoryPartitionSizeInBytes=self.file_bytes):
-            own = compaction.in_files(sized, None if n_bytes is None else max(1, -(-n_bytes // self.file_bytes)))
-            writer = own.withColumn("sst_id", F.spark_partition_id().cast("long") + first).write.partitionBy("sst_id")
-            if self.bloom:  # the writer makes a Bloom filter only where the column has no dictionary
-                writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false")
-            writer.parquet(path)
+        if n_bytes is None:
+            n_bytes = sized.agg(F.sum("size")).first()[0] or 0
+        # Level 0 is always merged as a whole, so there a key's versions may spread over runs. Deeper runs go one by one.
+        own = compaction.in_files(sized, max(1, -(-n_bytes // self.file_bytes)), first, whole_keys=level > 0)
+        writer = own.write.partitionBy("sst_id")
+        if self.bloom:  # the writer makes a Bloom filter only where the column has no dictionary
+            writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false")
+        writer.parquet(path)
         made = [int(n[7:]) for n in self.files.names(path) if n.startswith("sst_id=")]
         stats = self._stats([f"{attempt}/sst_id={i}" for i in made], None, path) if made else []
         added = [{**r, "level": level, "path": f"{attempt}/sst_id={r['sst_id']}"} for r in stats]

@@ -353,3 +353,20 @@ def test_streaming_ingest_is_exactly_once(spark, store, tmp_path):
         ingest(stream, store, "feed", str(tmp_path / "checkpoint")).awaitTermination()
     assert dict(pairs(store.scan())) == {"a": "1", "b": "2"} and store.log().count() == 2
     assert store.write_frame(spark.createDataFrame([("a", "again")], schema), "feed", 0) is None
+
+
+def test_runs_keep_to_their_size_however_well_rows_compress(spark, store):
+    """More runs than the session shuffles to, of one key's versions too; each sorted, and all of them read."""
+    hot = spark.range(3000).select(F.lit("hot").alias("key"), F.lit("v").alias("value"), F.col("id").alias("seq"))
+    cold = spark.range(3000).select(F.format_string("k%05d", "id").alias("key"), F.lit("v").alias("value"), F.col("id").alias("seq"))
+    store.write_frame(hot.unionByName(cold))
+    runs = store.get_manifest_info()
+    assert len(runs) >= 17 and sum(m["n_rows"] for m in runs) == 6000
+    assert max(m["n_bytes"] for m in runs) < 3 * store.file_bytes
+    for m in runs:
+        rows = [(r.key, -r.seq) for r in spark.read.parquet(f"{store.root}/data/{m['path']}").coalesce(1).collect()]
+        assert rows == sorted(rows)
+    assert [r.seq for r in winners(store.log()).where("key = 'hot'").collect()] == [2999] and store.scan().count() == 3001
+    assert store.compact(0) and store.scan().count() == 3001
+    store.write_frame(hot.where("false"))
+    assert store.scan().count() == 3001
