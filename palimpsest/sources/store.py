@@ -93,19 +93,17 @@ class VersionedStore:
 
         Attempts that were finished but never committed, or replaced by a compaction, can't be told apart then.
         """
-        found = {}
+        added = []
         for attempt in self.files.names(f"{self.root}/data"):
             for level in self.files.names(f"{self.root}/data/{attempt}"):
                 own = f"{attempt}/{level}"
                 if level.startswith("level=") and self.files.exists(f"{self.root}/data/{own}/_SUCCESS"):
-                    for run in self.files.names(f"{self.root}/data/{own}"):
-                        if run.startswith("sst_id="):
-                            found[f"{own}/{run}"] = (int(level[6:]), len(found))
-        if found:
-            paths = {sst: (path, level) for path, (level, sst) in found.items()}
-            stats = self._stats(list(found), {path: sst for path, (_, sst) in found.items()}, None)
-            added = [{**r, "level": paths[r["sst_id"]][1], "path": paths[r["sst_id"]][0]} for r in stats]
-            self.next_sst = len(found)
+                    runs = [f"{own}/{run}" for run in self.files.names(f"{self.root}/data/{own}") if run.startswith("sst_id=")]
+                    # By attempt, so that the folder's number tells a row's run. Its path would have to be cut and joined row by row.
+                    for r in self._stats(runs, f"{self.root}/data/{own}") if runs else []:
+                        added.append({**r, "sst_id": len(added), "level": int(level[6:]), "path": f"{own}/sst_id={r['sst_id']}"})
+        if added:
+            self.next_sst = len(added)
             self._record(added, (), max(r["max_tid"] for r in added), None, None)
 
     def manifest(self) -> DataFrame:
@@ -236,21 +234,14 @@ class VersionedStore:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false")
         writer.parquet(path)
         made = [int(n[7:]) for n in self.files.names(path) if n.startswith("sst_id=")]
-        stats = self._stats([f"{attempt}/sst_id={i}" for i in made], None, path) if made else []
+        stats = self._stats([f"{attempt}/sst_id={i}" for i in made], path) if made else []
         added = [{**r, "level": level, "path": f"{attempt}/sst_id={r['sst_id']}"} for r in stats]
         self.next_sst = 1 + max(made, default=first - 1)
         self._record(added, removed, checkpoint, source, batch)
 
-    def _stats(self, paths: list[str], numbers: dict[str, int] | None, base: str | None) -> list[dict]:
-        """The catalogue columns of runs just written, from their narrow columns: values are not read."""
-        found = self.spark.read.schema(RUN + (", sst_id long" if base else ""))
-        found = found.option("basePath", base) if base else found
-        found = found.parquet(*[f"{self.root}/data/{p}" for p in paths])
-        if numbers is not None:
-            # The run's place among the attempts: the last three folders of its path.
-            where = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/level=[0-9]+/sst_id=[0-9]+)/[^/]+$", 1)
-            names = self.spark.createDataFrame(list(numbers.items()), "place string, sst_id long")
-            found = found.select("key", "tid", "size", where.alias("place")).join(names, "place")
+    def _stats(self, paths: list[str], base: str) -> list[dict]:
+        """The catalogue columns of one attempt's runs, from their narrow columns: values are not read."""
+        found = self.spark.read.schema(RUN + ", sst_id long").option("basePath", base).parquet(*[f"{self.root}/data/{p}" for p in paths])
         stats = found.groupBy("sst_id").agg(F.min("tid").alias("min_tid"), F.max("tid").alias("max_tid"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
         return [r.asDict() for r in stats.collect()]
 

@@ -370,3 +370,24 @@ def test_runs_keep_to_their_size_however_well_rows_compress(spark, store):
     assert store.compact(0) and store.scan().count() == 3001
     store.write_frame(hot.where("false"))
     assert store.scan().count() == 3001
+
+
+def test_backfilling_shuffles_runs_statistics_not_their_rows(spark, store):
+    """The catalogue found again is the one that was; the rows combine before they are dealt by run."""
+    for turn in range(2):
+        store.write_frame(spark.range(2000).select(F.format_string("k%05d", "id").alias("key"), F.lit(f"v{turn}").alias("value")))
+    columns = "level, min_tid, max_tid, first_key, last_key, n_rows, n_bytes, path".split(", ")
+    kept = lambda s: sorted(tuple(m[c] for c in columns) for m in s.get_manifest_info())
+    expected = kept(store)
+    store.files.delete(f"{store.root}/manifest")
+    before = set(_stages(spark))
+    again = VersionedStore(spark, store.root)
+    assert kept(again) == expected and len(expected) > 8
+    assert max(n for stage, n in _stages(spark).items() if stage not in before) < 500
+
+
+def _stages(spark):
+    """The rows that each stage so far wrote to a shuffle."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+    found = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
