@@ -6,7 +6,7 @@ A filter has `bits` bits; a key sets `hashes` of them, at (h1 + i * h2) mod bits
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.checksums import bloom_size
@@ -15,29 +15,39 @@ from palimpsest.functions.checksums import bloom_size
 EXPECTED, RATE = 65_536, 0.01
 
 
-def places(key: Column, bits: int, hashes: int) -> Column:
-    """The array of bits that a key sets. The two hashes are 52-bit parts of its MD5, so sums stay in 64 bits."""
-    digest = F.md5(key.cast("binary"))
-    part = lambda i: F.conv(F.substring(digest, i, 13), 16, 10).cast("long")
-    h1, h2 = part(1), part(14).bitwiseOR(F.lit(1).cast("long"))
-    return F.array(*[(h1 + F.lit(i).cast("long") * h2) % bits for i in range(hashes)])
+def placed(keys: DataFrame, by: list[str], bits: int, hashes: int) -> DataFrame:
+    """(*by, place): a row for each bit that a key sets. The two hashes are 52-bit parts of its MD5, so sums stay in 64 bits.
+
+    Digest and hashes are columns of their own, made once a key: inside the exploded array each place would make them anew.
+    """
+    part = lambda i: F.conv(F.substring("_digest", i, 13), 16, 10).cast("long")
+    own = keys.select(*by, F.md5(F.col("key").cast("binary")).alias("_digest"))
+    own = own.select(*by, part(1).alias("_h1"), part(14).bitwiseOR(F.lit(1).cast("long")).alias("_h2"))
+    return own.select(*by, F.explode(F.array(*[(F.col("_h1") + F.lit(i).cast("long") * F.col("_h2")) % bits for i in range(hashes)])).alias("place"))
+
+
+def words(spread: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, word, name): the places of each `by` as words of 64 bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    return spread.groupBy(by, F.expr("place div 64").alias("word")).agg(F.bit_or(bit).alias(name))
 
 
 def build(keys: DataFrame, by: str = "sst_id", expected: int = EXPECTED, rate: float = RATE) -> DataFrame:
     """(by, word, mask): the filters of keys(by, key). Bits combine on the map side; a key's copies cost nothing more."""
-    bits, hashes = bloom_size(expected, rate)
-    spread = keys.select(by, F.explode(places(F.col("key"), bits, hashes)).alias("place"))
-    return spread.groupBy(by, F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("mask"))
+    return words(placed(keys, [by], *bloom_size(expected, rate)), by, "mask")
 
 
 def may_contain(filters: DataFrame, asked: DataFrame, by: str = "sst_id", expected: int = EXPECTED, rate: float = RATE) -> DataFrame:
     """(by, key) of the filters that may hold an asked key: all of its bits are set. A filter without it may be named, at
-    about the rate; one with it always is."""
-    bits, hashes = bloom_size(expected, rate)
-    probes = asked.select("key").distinct().select("key", F.explode(F.array_distinct(places(F.col("key"), bits, hashes))).alias("place"))
-    probes = probes.groupBy("key", F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("need"))
+    about the rate; one with it always is.
+
+    Words that nobody asks for go first. There are at most as many asked as a filter has, so they are broadcast, and Spark
+    drops the others before it combines a filter's bits.
+    """
+    probes = words(placed(asked.select("key").distinct(), ["key"], *bloom_size(expected, rate)), "key", "need")
     needed = probes.groupBy("key").agg(F.count("*").alias("words"))
-    hit = probes.join(filters, "word").where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
+    wanted = filters.join(F.broadcast(probes.select("word").distinct()), "word", "left_semi")
+    hit = probes.join(wanted, "word").where(F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
     return hit.groupBy(by, "key").agg(F.count("*").alias("n")).join(needed, "key").where("n = words").select(by, "key")
 
 

@@ -89,6 +89,17 @@ def test_bloom_filters_never_miss(spark):
             binary.decode_bloom(data[:-1])
 
 
+def test_bloom_places_hash_a_key_once_and_unasked_words_go_first(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "sst_id long, key string")
+    filters = bloom.build(rows)
+    plan = filters._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("conv(") == 2
+    plan = bloom.may_contain(filters, rows.select("key"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert "Aggregate" in lines[semi - 1] and "mask" in lines[semi - 1]  # the filters' bits combine above the semi join
+
+
 RECORDS = st.lists(st.tuples(st.integers(0, 2**64 - 1), st.sampled_from(transactions.OPERATIONS), st.binary(max_size=30), st.binary(max_size=30)), max_size=12)
 
 
