@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.plans.visibility import winners
@@ -32,16 +33,29 @@ def slot(key: Column, bounds: list[str]) -> Column:
 def covered(keys: DataFrame, files: DataFrame) -> DataFrame:
     """The rows of keys(key, ...) whose key lies in the range of some file (first_key, last_key).
 
-    A range join by buckets: keys and ranges are dealt to the slots between at most BUCKETS boundaries, and
-    only meet within a slot. A range over several slots is filed under each.
+    A sweep: dealt to the slots between at most BUCKETS boundaries, keys and ranges are merged in key order, and a key is
+    covered if a range that began before it reaches as far. What slots before reach is known when the boundaries are. So
+    no key meets a range, however many there are. Where slots are few, each is dealt to several tasks, with all its ranges;
+    so are keys that nothing up to their slot's end reaches, with none. (To drop those here would put the test below the
+    aggregate that keys come from, and callers would have it computed twice.)
     """
-    bounds = boundaries(files)
-    if not bounds:
+    reaches = files.groupBy("first_key").agg(F.max("last_key").alias("last_key"))
+    parts = reaches.repartitionByRange(BUCKETS, "first_key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("first_key").alias("k"), F.max("last_key").alias("reach"))
+    found = sorted(((r.k, r.reach) for r in parts.collect()), key=lambda r: r[0].encode())
+    if not found:
         return keys.where(F.lit(False))
-    ranges = files.select("first_key", "last_key", F.explode(F.sequence(slot(F.col("first_key"), bounds), slot(F.col("last_key"), bounds))).alias("slot"))
-    own = keys.withColumn("slot", slot(F.col("key"), bounds))
-    hit = (own["slot"] == ranges["slot"]) & (ranges["first_key"] <= own["key"]) & (own["key"] <= ranges["last_key"])
-    return own.join(ranges, hit, "left_semi").drop("slot")
+    bounds, deals = [k for k, _ in found], max(1, BUCKETS // len(found))
+    upto = list(accumulate((r for _, r in found), lambda a, b: max(a, b, key=str.encode)))
+    # Slot 0 lies before all ranges and slot 1 begins with the first one; what begins in a slot is met there.
+    reached = lambda ends: F.get(F.array(*[F.lit(r).cast("string") for r in ends]), F.col("_slot"))
+    earlier, near = reached((None, None, *upto[:-1])), F.coalesce(F.col("key") <= reached((None, *upto)), F.lit(False))
+    begun = reaches.select(F.col("first_key").alias("key"), slot(F.col("first_key"), bounds).alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("_deal"), F.col("last_key").alias("_reach"))
+    own = keys.withColumn("_slot", slot(F.col("key"), bounds)).withColumn("_near", near)
+    own = own.withColumns({"_slot": F.when(F.col("_near"), F.col("_slot")).otherwise(-1), "_deal": F.pmod(F.xxhash64("key"), F.when(F.col("_near"), deals).otherwise(BUCKETS)).cast("int"), "_reach": F.lit(None).cast("string")}).drop("_near")
+    order = Window.partitionBy("_slot", "_deal").orderBy("key", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = own.withColumn("_asked", F.lit(True)).unionByName(begun.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    reach = F.greatest(F.max("_reach").over(order), earlier)
+    return merged.withColumn("_reach", reach).where(F.col("_asked") & (F.col("_reach") >= F.col("key"))).select(*keys.columns)
 
 
 def collect_tombstones(rows: DataFrame, deeper: DataFrame) -> DataFrame:

@@ -66,6 +66,30 @@ def test_slots_count_the_bounds_below(spark, n):
     assert all(r.s == bisect.bisect_right(bounds, r.key) for r in keys.select("key", compaction.slot(F.col("key"), bounds).alias("s")).collect())
 
 
+@pytest.mark.parametrize("n", [1, 3, 40, 400])
+def test_covered_keys_of_any_number_of_ranges(spark, n):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(n)
+    begin = [draw.randrange(3000) for _ in range(n)]
+    ranges = [(f"{b:04d}", f"{b + (draw.randrange(400) if draw.random() < 0.05 else draw.randrange(4)):04d}") for b in begin]
+    files = spark.createDataFrame(ranges, "first_key string, last_key string")
+    keys = spark.range(0, 4000, 3).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("key"), F.col("id").alias("more"))
+    found = compaction.covered(keys, files)
+    assert found.columns == ["key", "more"]
+    assert sorted(tuple(r) for r in found.collect()) == [(f"{i:04d}", i) for i in range(0, 4000, 3) if any(a <= f"{i:04d}" <= z for a, z in ranges)]
+
+
+def test_covered_keys_meet_no_ranges_and_are_computed_once(spark):
+    """The sweep has no join, and the rows that stay and those that are asked share one aggregate."""
+    log = spark.range(200).selectExpr("format_string('k%03d', id) key", "IF(id % 2 = 0, '', 'v') value", "id tid", "0L seq")
+    deeper = spark.createDataFrame([("k010", "k020"), ("k015", "k150")], "first_key string, last_key string")
+    found = compaction.compact(log, deeper)
+    assert sorted(r.key for r in found.collect()) == sorted([f"k{i:03d}" for i in range(200) if i % 2 or 10 <= i <= 150])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ReusedExchange" in plan
+
+
 def test_retaining_compactions_collect_old_tombstones(spark):
     log = spark.createDataFrame([("a", "1", 1, 0), ("a", "", 2, 0), ("b", "", 2, 0), ("c", "x", 2, 0), ("a", "2", 9, 0), ("b", "", 9, 0)], LOG)
     deeper = spark.createDataFrame([("b", "c")], "first_key string, last_key string")
