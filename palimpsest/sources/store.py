@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import ENTRY_OVERHEAD, entry_bytes
@@ -120,9 +120,31 @@ class VersionedStore:
     def _pending(self) -> DataFrame:
         return self.spark.createDataFrame(self.buffer, LOG)
 
+    def _reader(self, parts: int | None = None) -> DataFrameReader:
+        """A reader whose frames give a task one run. With parts, a shuffle of such a frame has that many partitions.
+
+        Spark fills tasks by files' size on disk: sorted and compressed, a run may take a tenth of its entries' bytes, and less
+        where keys have many versions, so a task would get many runs. The settings that tell are those of the session that
+        reads; so that the caller's stay as they are, a copy of it does. (A SparkSession made in Python would become the one
+        that `RDD.toDF` uses.)
+        """
+        own, reader = self.spark._jsparkSession.cloneSession(), self.spark.read
+        conf = own.conf()
+        conf.set("spark.sql.files.openCostInBytes", conf.get("spark.sql.files.maxPartitionBytes"))
+        if parts is not None:
+            conf.set("spark.sql.shuffle.partitions", str(parts))
+            conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        reader._jreader = own.read()
+        return reader
+
+    def _paths(self, ids: Iterable[int]) -> list[str]:
+        return [f"{self.root}/data/{self.live[i]['path']}" for i in sorted(ids)]
+
     def _run(self, ids: Iterable[int]) -> DataFrame | None:
-        paths = [f"{self.root}/data/{self.live[i]['path']}" for i in sorted(ids)]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else None
+        """Runs as a frame of the caller's session: it starts with an empty one of theirs, which the optimizer drops."""
+        paths = self._paths(ids)
+        empty = "SELECT '' AS key, '' AS value, 0L AS tid, 0L AS seq WHERE false"
+        return self.spark.sql(empty).unionByName(self._reader().schema(LOG).parquet(*paths)) if paths else None
 
     def log(self, low: str | None = None, high: bytes | None = None) -> DataFrame:
         """All versions, less runs that hold no key in [low, high): those are never opened."""
@@ -216,6 +238,9 @@ class VersionedStore:
 
     # ---- commits
 
+    def _parts(self, n_bytes: int) -> int:
+        return max(1, -(-n_bytes // self.file_bytes))
+
     def _commit(self, rows: DataFrame, level: int, removed: Iterable[int], checkpoint: int, source: str | None = None, batch: int | None = None, n_bytes: int | None = None) -> None:
         """Write rows as runs of a level, then record them.
 
@@ -228,7 +253,7 @@ class VersionedStore:
         if n_bytes is None:
             n_bytes = sized.agg(F.sum("size")).first()[0] or 0
         # Level 0 is always merged as a whole, so there a key's versions may spread over runs. Deeper runs go one by one.
-        own = compaction.in_files(sized, max(1, -(-n_bytes // self.file_bytes)), first, whole_keys=level > 0)
+        own = compaction.in_files(sized, self._parts(n_bytes), first, whole_keys=level > 0)
         writer = own.write.partitionBy("sst_id")
         if self.bloom:  # the writer makes a Bloom filter only where the column has no dictionary
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false")
@@ -241,7 +266,7 @@ class VersionedStore:
 
     def _stats(self, paths: list[str], base: str) -> list[dict]:
         """The catalogue columns of one attempt's runs, from their narrow columns: values are not read."""
-        found = self.spark.read.schema(RUN + ", sst_id long").option("basePath", base).parquet(*[f"{self.root}/data/{p}" for p in paths])
+        found = self._reader().schema(RUN + ", sst_id long").option("basePath", base).parquet(*[f"{self.root}/data/{p}" for p in paths])
         stats = found.groupBy("sst_id").agg(F.min("tid").alias("min_tid"), F.max("tid").alias("max_tid"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
         return [r.asDict() for r in stats.collect()]
 
@@ -330,7 +355,8 @@ class VersionedStore:
         ids = [m["sst_id"] for m in own + below]
         deeper = self.manifest().where(F.col("level") > level + 1)
         size = sum(m["n_bytes"] for m in own + below)
-        self._commit(compaction.compact(self._run(ids), deeper), level + 1, ids, self.checkpoint, n_bytes=size)
+        log = self._reader(self._parts(size)).schema(LOG).parquet(*self._paths(ids))
+        self._commit(compaction.compact(log, deeper), level + 1, ids, self.checkpoint, n_bytes=size)
         return True
 
     def maintain(self) -> int:

@@ -391,3 +391,30 @@ def _stages(spark):
     status = spark.sparkContext._jsc.sc().statusStore()
     found = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+
+def test_a_task_reads_one_run_and_merges_a_run_s_worth(spark, store, monkeypatch):
+    """Reads and compaction, whatever the session's settings, which stay."""
+    from palimpsest.operators import compaction
+
+    for turn in range(2):
+        store.write_frame(spark.range(2000).select(F.format_string("k%05d", "id").alias("key"), F.lit(f"v{turn}").alias("value")))
+    runs = store.get_manifest_info()
+    assert len(runs) > 12
+    before = _settings(spark)
+    read = lambda df: [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.countDistinct("path").alias("n")).collect()]
+    assert read(store.log().select(F.input_file_name().alias("path"))) == [1] * len(runs)
+    merged, compact = [], compaction.compact
+    monkeypatch.setattr(compaction, "compact", lambda log, deeper: merged.append((log, compact(log, deeper))) or merged[0][1])
+    assert store.compact(0)
+    log, left = merged[0]
+    assert read(log.select(F.input_file_name().alias("path"))) == [1] * len(runs)
+    tasks = [r["count"] for r in left.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < 400 and sum(tasks) == 2000
+    assert _settings(spark) == before and int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    store.view("kept")
+    assert spark.sql("SELECT count(*) AS n FROM kept WHERE value = 'v1'").first().n == 2000
+
+
+def _settings(spark):
+    return {r.key: r.value for r in spark.sql("SET").collect()}
