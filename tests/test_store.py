@@ -416,5 +416,32 @@ def test_a_task_reads_one_run_and_merges_a_run_s_worth(spark, store, monkeypatch
     assert spark.sql("SELECT count(*) AS n FROM kept WHERE value = 'v1'").first().n == 2000
 
 
+def test_batch_reads_give_each_run_a_task(spark, store):
+    """Of several runs, of which the wanted keys may be in any."""
+    keys = _many_runs(spark, store)
+    tasks, found = _most_tasks(spark, lambda: store.get_frame(store.spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "pos long, key string")).collect())
+    assert {(r.key, r.value) for r in found} == {(keys[0], "v1"), (keys[1], "v1"), (keys[2], None)}
+    assert tasks >= len(store.get_manifest_info()) > 12
+
+
+def _many_runs(spark, store):
+    for turn in range(2):
+        store.write_frame(spark.range(2000).select(F.format_string("k%05d", "id").alias("key"), F.lit(f"v{turn}").alias("value")))
+    return ["k00003", "k01999", "none"]
+
+
+def _most_tasks(spark, action):
+    """The most tasks of a stage that the action runs, and what it returns."""
+    known = set(_tasks(spark))
+    found = action()
+    return max(n for stage, n in _tasks(spark).items() if stage not in known), found
+
+
+def _tasks(spark):
+    status = spark.sparkContext._jsc.sc().statusStore()
+    found = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {s.stageId(): s.numTasks() for s in map(found.apply, range(found.size()))}
+
+
 def _settings(spark):
     return {r.key: r.value for r in spark.sql("SET").collect()}
