@@ -424,6 +424,14 @@ def test_batch_reads_give_each_run_a_task(spark, store):
     assert tasks >= len(store.get_manifest_info()) > 12
 
 
+def test_prefix_reads_give_each_run_a_task(spark, store):
+    """Of the runs whose key range may hold the prefix."""
+    _many_runs(spark, store)
+    tasks, found = _most_tasks(spark, lambda: store.get_prefix_range("k0").collect())
+    assert [(r.key, r.value) for r in found] == [(f"k{i:05d}", "v1") for i in range(2000)]
+    assert tasks >= len(store.get_manifest_info()) > 12
+
+
 def _many_runs(spark, store):
     for turn in range(2):
         store.write_frame(spark.range(2000).select(F.format_string("k%05d", "id").alias("key"), F.lit(f"v{turn}").alias("value")))
