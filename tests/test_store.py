@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.keys import ENTRY_OVERHEAD
 from palimpsest.operators.transactions import Conflict, Isolation
 from palimpsest.plans.visibility import winners
 from palimpsest.sources.store import VersionedStore
@@ -451,5 +452,30 @@ def _tasks(spark):
     return {s.stageId(): s.numTasks() for s in map(found.apply, range(found.size()))}
 
 
+@pytest.mark.parametrize("name", ["store_multi_get"])
+def test_no_task_of_a_query_sorts_more_of_a_larger_table(spark, monkeypatch, name):
+    """Loading, compacting and reading at full: ten times the rows make more tasks that sort, of a run's rows each."""
+    from palimpsest import queries
+
+    run = 128 << 10
+    monkeypatch.setattr(queries, "VersionedStore", lambda spark, root: VersionedStore(spark, root, file_bytes=run))
+    sorted_rows = {}
+    for sf in ("sf0.001", "sf0.01"):
+        known = set(_tasks(spark))
+        queries.QUERIES[name](spark, f"/root/testdata/{sf}").collect()
+        sorted_rows[sf] = [n for stage in set(_tasks(spark)) - known for n in _rows_of_sorting_tasks(spark, stage)]
+    assert len(sorted_rows["sf0.01"]) > 2 * len(sorted_rows["sf0.001"])
+    assert 500 < max(sorted_rows["sf0.001"]) and max(sorted_rows["sf0.01"]) < 2 * run / (ENTRY_OVERHEAD + len("part:00000000") + 2)
+
+
+def _rows_of_sorting_tasks(spark, stage):
+    """The rows read by each task of a stage that took execution memory; one that only scans, filters and deals takes none."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().taskList(stage, 0, 1 << 20)
+    done = [t.taskMetrics().get() for t in map(found.apply, range(found.size())) if t.taskMetrics().isDefined()]
+    return [m.inputMetrics().recordsRead() + m.shuffleReadMetrics().recordsRead() for m in done if m.peakExecutionMemory()]
+
+
 def _settings(spark):
     return {r.key: r.value for r in spark.sql("SET").collect()}
