@@ -452,7 +452,7 @@ def _tasks(spark):
     return {s.stageId(): s.numTasks() for s in map(found.apply, range(found.size()))}
 
 
-@pytest.mark.parametrize("name", ["store_multi_get"])
+@pytest.mark.parametrize("name", ["store_multi_get", "store_prefix"])
 def test_no_task_of_a_query_sorts_more_of_a_larger_table(spark, monkeypatch, name):
     """Loading, compacting and reading at full: ten times the rows make more tasks that sort, of a run's rows each."""
     from palimpsest import queries
